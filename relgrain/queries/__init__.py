@@ -1 +1,6 @@
+"""Registered queries, by module: ``QUERIES`` and ``SQL`` of each."""
 
+from . import data
+
+MODULES = [data]
+FLAGSHIP = "p2_found"
