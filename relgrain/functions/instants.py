@@ -94,6 +94,15 @@ def _offset(micros: str, zone: str) -> str:
     return f"(unix_micros(from_utc_timestamp(timestamp_micros({micros}), {zone})) - ({micros}))"
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a generator of one row.
+
+    Filters and projections above would otherwise be rewritten in terms of what is below, again and again: the
+    expressions would be copied into each use and grow with every step.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def normalize_instants(
     df: DataFrame, text: str, zone: str | None = None, order: str | None = None, prefix: str = "instant"
 ) -> DataFrame:
@@ -112,7 +121,7 @@ def normalize_instants(
     raw = F.col(f"`{text}`")
     parts = F.split(F.regexp_replace(raw, F.lit(PATTERN), F.lit(_REPLACEMENT)), _SEP, -1)
     names = list(_PARTS)
-    out = df.withColumn("__p", F.when(raw.isNotNull(), parts))
+    out = _computed(df, __p=F.when(raw.isNotNull(), parts))
     ok = (F.size("__p") == len(names)) & F.col("__p")[0].startswith(_MARK) & ~F.contains(raw, F.lit(_MARK))
     text_of = {n: F.nullif(F.get("__p", F.lit(i)), F.lit("")) for i, n in enumerate(names)}
     text_of["epoch"] = F.nullif(F.substring(F.get("__p", F.lit(0)), 2, 40), F.lit(""))
@@ -153,18 +162,19 @@ def normalize_instants(
         text_of["region"].alias("region"),
     )
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    out = out.withColumn("__c", struct).drop("__p")
+    out = _computed(out, __c=struct).drop("__p")
     c = lambda n: F.col(f"__c.{n}")
     region = F.when(c("region").isNotNull(), F.when(c("region").isin(regions), c("region"))).otherwise(
         F.when(c("abbr").isNull() & (zone_col.isin(regions) | (zone_col == "UTC")), zone_col)
     )
     fixed = F.coalesce(c("off_min") * c("off_sign"), F.try_element_at(table, F.upper(c("abbr"))))
-    out = out.withColumns(
-        {
+    out = _computed(
+        out,
+        **{
             "__date_ok": F.expr(f"__c.m BETWEEN 1 AND 12 AND __c.y BETWEEN 1 AND 9999 AND __c.d BETWEEN 1 AND {month_length('__c.y', '__c.m')}"),
             "__fixed": fixed.cast("bigint"),
             "__region": F.when(fixed.isNull(), region),
-        }
+        },
     )
     valid = c("ok") & F.when(c("epoch").isNotNull(), ~c("epoch_odd")).otherwise(
         F.coalesce(F.col("__date_ok"), F.lit(False)) & (c("h") < 24) & (c("mi") < 60) & (c("s") < 60)
@@ -177,15 +187,15 @@ def normalize_instants(
         .otherwise(F.expr("__c.epoch div 1000"))
     )
     local = F.expr(f"{civil_days('__c.y', '__c.m', '__c.d')} * {DAY_US} + (__c.h * 3600 + __c.mi * 60 + __c.s) * {US} + __c.f")
-    out = out.withColumn("__valid", F.coalesce(valid, F.lit(False)))
-    out = out.withColumn("__l", F.when(F.col("__valid") & c("epoch").isNull(), local))
+    valid = F.coalesce(valid, F.lit(False))
+    out = _computed(out, __valid=valid, __l=F.when(valid & c("epoch").isNull(), local))
     # With at most one change of offset within a day of it, a local time has the offset of the day before, of the day
     # after, of both (then it happened twice if they differ) or of neither (then it was skipped).
-    out = out.withColumns({
+    out = _computed(out, **{
         "__a": F.when(F.col("__region").isNotNull(), F.expr(f"__l - {_offset(f'__l - {DAY_US}', '__region')}")),
         "__b": F.when(F.col("__region").isNotNull(), F.expr(f"__l - {_offset(f'__l + {DAY_US}', '__region')}")),
     })
-    out = out.withColumns({
+    out = _computed(out, **{
         "__va": F.expr(f"__a + {_offset('__a', '__region')} = __l"),
         "__vb": F.expr(f"__b + {_offset('__b', '__region')} = __l"),
     })
@@ -206,6 +216,5 @@ def normalize_instants(
         .when(F.col("__vb"), F.col("__b"))
         .otherwise(F.col("__a"))
     )
-    out = out.withColumn(f"{prefix}_reason", reason)
-    out = out.withColumn(f"{prefix}_us", F.when(raw.isNotNull() & F.col(f"{prefix}_reason").isNull(), instant))
+    out = _computed(out, **{f"{prefix}_us": F.when(raw.isNotNull() & reason.isNull(), instant), f"{prefix}_reason": reason})
     return out.drop("__c", "__valid", "__date_ok", "__fixed", "__region", "__l", "__a", "__b", "__va", "__vb")

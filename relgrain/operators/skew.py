@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -153,4 +154,4 @@ def heavy_keys(df: DataFrame, group: str, key: str, share: float, chunk_rows: in
     """Keys that are not null and hold at least ``share`` of their group's rows, rows with a null key counted."""
     per_key = per_key_results(df.select(group, key), [group, key], chunk_rows=chunk_rows)
     totals = per_key.groupBy(group).agg(F.sum("n").alias("total"))
-    return per_key.join(totals, group).filter(F.col(key).isNotNull() & (F.col("n") >= F.col("total") * F.lit(share))).select(group, key, "n", "total")
+    return per_key.join(totals, group).filter(F.col(key).isNotNull() & (F.col("n") >= F.col("total") * F.lit(Decimal(str(share))))).select(group, key, "n", "total")
