@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, small
 from .messages import ending, words
 
-_SCAN = "doc_id bigint, source string, structure string, token string, prose boolean, chars int, bytes int, body_chars int, body_bytes int, word string, n bigint"
-_MEASURES = ("chars", "bytes", "body_chars", "body_bytes")
+_SCAN = "doc_id bigint, source string, structure string, token string, prose boolean, chars int, bytes int, body_chars int, body_bytes int, lines int, word string, n bigint"
+#: Measures of a text, and the size from which each can be a limit.
+_MEASURES = {"chars": 100, "bytes": 100, "body_chars": 100, "body_bytes": 100, "lines": 20}
 
 
 def _scan(longest_word: int, held: int = 300_000):
@@ -33,10 +34,10 @@ def _scan(longest_word: int, held: int = 300_000):
             for doc_id, source, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "source", "text"))):
                 end = ending(text)
                 if end is None:
-                    rows.append((doc_id, source, None, None, False, None, None, None, None))
+                    rows.append((doc_id, source, None, None, False, *[None] * len(_MEASURES)))
                     continue
                 counts.update(words(text))
-                rows.append((doc_id, source, end.structure, end.token, end.prose, len(text), len(text.encode("utf-8", "replace")), end.body_chars, end.body_bytes))
+                rows.append((doc_id, source, end.structure, end.token, end.prose, len(text), len(text.encode("utf-8", "replace")), end.body_chars, end.body_bytes, text.count("\n") + 1))
             if rows:
                 none = pa.nulls(len(rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*rows), schema)), none.cast(pa.string()), none.cast(pa.int64())], schema=schema)
@@ -72,16 +73,18 @@ def trie_nodes(vocabulary: DataFrame, known_from: int = 3) -> DataFrame:
     return nodes.groupBy("prefix").agg(F.max("whole").alias("is_word"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("below"))
 
 
-def length_limits(endings: DataFrame, least: int = 3, share: float = 0.2, shortest: int = 100) -> DataFrame:
+def length_limits(endings: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
     """``source, measure, size, n``: sizes at which a source's texts pile up because longer ones were cut there.
 
     A cut puts all longer texts at one size, so that size holds much of what is that long or longer: at least
-    ``share`` of it, and ``least`` texts. Texts are measured in characters and bytes, with and without their headers.
+    ``share`` of it, and ``least`` texts. Texts are measured in characters and bytes, with and without their headers,
+    and in lines.
     A source whose limit changed, or that puts a mark where it cuts, has several. Counts per size are combined before
     the shuffle; the running sum is over a source's sizes, not its texts.
     """
-    sizes = endings.select("source", F.stack(F.lit(4), *[x for m in _MEASURES for x in (F.lit(m), F.col(m))]).alias("measure", "size"))
-    counts = sizes.filter(F.col("size") >= shortest).groupBy("source", "measure", "size").agg(F.count("*").alias("n"))
+    sizes = endings.select("source", F.stack(F.lit(len(_MEASURES)), *[x for m in _MEASURES for x in (F.lit(m), F.col(m))]).alias("measure", "size"))
+    shortest = F.create_map(*[F.lit(x) for kv in _MEASURES.items() for x in kv])
+    counts = sizes.filter(F.col("size") >= shortest[F.col("measure")]).groupBy("source", "measure", "size").agg(F.count("*").alias("n"))
     longer = F.sum("n").over(Window.partitionBy("source", "measure").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("from_here", longer).filter((F.col("n") >= least) & (F.col("n") >= share * F.col("from_here"))).drop("from_here")
 
