@@ -189,8 +189,8 @@ def entity_features(
     ``events``: entity (bigint), type (bigint), n, at (microseconds), total, each a bigint; n and total not negative.
     They may be combined already, n being how many events a row stands for. Events at or after the cut, or without
     time, entity or type, are not features and are left out. ``entities`` and ``types`` have the ids that get a row and
-    a place on the axis; types that only events have are added. A type that an entity never had has count 0, total 0
-    and no recency. ``recency_s`` is whole seconds from the latest event to the cut.
+    a place on the axis; events of a type that ``types`` lacks are an error. A type that an entity never had has count 0,
+    total 0 and no recency. ``recency_s`` is whole seconds from the latest event to the cut.
 
     The number of types is checked against ``max_types``: the axis is held by every task. Entities are put in blocks of
     about ``per_block`` by a hash of their id, and get their ordinal in the block's sorted ids. An entity with any
@@ -199,7 +199,7 @@ def entity_features(
     spark = events.sparkSession
     events = events.filter(F.col("entity").isNotNull() & F.col("type").isNotNull() & (F.col("at") < cut_us))
     entities = entities.select(F.col(entity).cast("bigint").alias("entity")).filter("entity is not null").distinct()
-    known = types.select(F.col(types.columns[0]).cast("bigint").alias("type")).union(events.select("type")).filter("type is not null").distinct()
+    known = types.select(F.col(types.columns[0]).cast("bigint").alias("type")).filter("type is not null").distinct()
     axis = sorted(r[0] for r in known.limit(max_types + 1).collect())
     if len(axis) > max_types:
         raise ValueError(f"more than {max_types} event types")

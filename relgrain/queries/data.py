@@ -78,7 +78,9 @@ def interaction_events(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 
 def p3_features(spark: SparkSession, folder: str) -> DataFrame:
     events, customers = interaction_events(spark, folder)
-    return entity_features(events, customers, table(spark, folder, "notification_interaction_types").select("id"), "customer_id", CUT_US)
+    used = table(spark, folder, "notification_interactions").select("interaction_type_id")
+    types = table(spark, folder, "notification_interaction_types").select("id").union(used)
+    return entity_features(events, customers, types, "customer_id", CUT_US)
 
 
 # --- p4 ---------------------------------------------------------------------------------------------------------------
@@ -172,7 +174,7 @@ SQL = {
   n AS (SELECT id AS nid, any_value(customer_id) AS customer_id FROM notifications GROUP BY id),
   e AS (SELECT customer_id, type, count(*) AS n, max(epoch_us(ts)) AS seen_us, CAST(sum(greatest(0, epoch_us(loaded_at) - epoch_us(ts)) // 60000000) AS BIGINT) AS total
     FROM d JOIN n USING (nid) WHERE type IS NOT NULL AND customer_id IS NOT NULL AND epoch_us(ts) < {CUT_US} GROUP BY customer_id, type),
-  axis AS (SELECT id AS type FROM notification_interaction_types WHERE id IS NOT NULL UNION SELECT d.type FROM d JOIN n USING (nid) WHERE d.type IS NOT NULL AND n.customer_id IS NOT NULL AND epoch_us(ts) < {CUT_US}),
+  axis AS (SELECT id AS type FROM notification_interaction_types WHERE id IS NOT NULL UNION SELECT type FROM d WHERE type IS NOT NULL),
   who AS (SELECT DISTINCT customer_id FROM notifications WHERE customer_id IS NOT NULL)
   SELECT customer_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_events, count(n) AS n_types, list(type ORDER BY type) AS types, list(coalesce(n, 0) ORDER BY type) AS counts,
     list(({CUT_US} - seen_us) // 1000000 ORDER BY type) AS recency_s, list(coalesce(total, 0) ORDER BY type) AS totals
