@@ -1,6 +1,6 @@
 """Registered queries, by module: ``QUERIES`` and ``SQL`` of each."""
 
-from . import data
+from . import data, features
 
-MODULES = [data]
-FLAGSHIP = "p2_found"
+MODULES = [data, features]
+FLAGSHIP = "pit_orders_per_customer"
