@@ -24,23 +24,23 @@ ABBREVIATIONS = {
     "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
 
-_BLANK = r"[\s\p{Z}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
+_B = r"[\s\p{Z}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
 _MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
-_WEEKDAY = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*"
+_WEEKDAY = rf"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\.?,?{_B}+)?"
 _DATES = [
     r"(?<ya>\d{4})[-/.](?<ma>\d{1,2})[-/.](?<da>\d{1,2})",
     r"(?<na>\d{1,2})(?<sep>[-/.])(?<nb>\d{1,2})[-/.](?<nc>\d{4}|\d{2})",
-    rf"(?:{_WEEKDAY}\.?,?\s+)?(?<dd>\d{{1,2}})(?:st|nd|rd|th)?[\s-]+(?<md>{_MONTH})\.?,?[\s-]+(?<yd>\d{{4}}|\d{{2}})",
-    rf"(?:{_WEEKDAY}\.?,?\s+)?(?<me>{_MONTH})\.?\s+(?<de>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?<ye>\d{{4}})",
+    rf"{_WEEKDAY}(?<dd>\d{{1,2}})(?:st|nd|rd|th)?(?:{_B}|-)+(?<md>{_MONTH})\.?,?(?:{_B}|-)+(?<yd>\d{{4}}|\d{{2}})",
+    rf"{_WEEKDAY}(?<me>{_MONTH})\.?{_B}+(?<de>\d{{1,2}})(?:st|nd|rd|th)?,?{_B}+(?<ye>\d{{4}})",
 ]
-_TIME = r"(?:(?:T|,?\s+(?:at\s+)?)(?<ha>\d{1,2}):(?<ia>\d{2})(?::(?<sa>\d{2})(?:[.,](?<fa>\d+))?)?(?:\s*(?<ap>[AP])\.?M\b\.?)?)?"
+_TIME = rf"(?:(?:T|,?{_B}+(?:at{_B}+)?)(?<ha>\d{{1,2}}):(?<ia>\d{{2}})(?::(?<sa>\d{{2}})(?:[.,](?<fa>\d+))?)?(?:{_B}*(?<ap>[AP])\.?M\b\.?)?)?"
 _COMPACT = r"(?<yb>\d{4})(?<mb>\d{2})(?<db>\d{2})(?:T?(?<hb>\d{2})(?<ib>\d{2})(?:(?<sb>\d{2})(?:[.,](?<fb>\d+))?)?)?"
 _ZONE = (
-    r"(?:\s*(?<zs>[+-])(?<zh>\d{2}):?(?<zm>\d{2})?(?:\s*\[[A-Za-z_/+-]+\]|\s*\([^)]*\))?"
-    r"|\s*\[?(?<zr>[A-Za-z]+(?:/[A-Za-z_+-]+)+)\]?|\s*(?<zz>Z)|\s+\(?(?<za>[A-Z]{2,5})\)?)?"
+    rf"(?:{_B}*(?<zs>[+-])(?<zh>\d{{2}}):?(?<zm>\d{{2}})?(?:{_B}*\[[A-Za-z_/+-]+\]|{_B}*\([^)]*\))?"
+    rf"|{_B}*\[?(?<zr>[A-Za-z]+(?:/[A-Za-z_+-]+)+)\]?|{_B}*(?<zz>Z)|{_B}+\(?(?<za>[A-Z]{{2,5}})\)?)?"
 )
 _EPOCH = r"(?<ep>\d{19}|\d{16}|\d{13}|\d{9,10})(?:\.(?<ef>\d+))?"
-PATTERN = rf"(?is)\A\s*(?:{_EPOCH}|(?:(?:{'|'.join(_DATES)}){_TIME}|{_COMPACT}){_ZONE})\s*\z".replace(r"[\s-]", _BLANK[:-1] + "-]").replace(r"\s", _BLANK).replace("[" + _BLANK, _BLANK[:-1])
+PATTERN = rf"(?is)\A{_B}*(?:{_EPOCH}|(?:(?:{'|'.join(_DATES)}){_TIME}|{_COMPACT}){_ZONE}){_B}*\z"
 
 #: Component -> the groups that may hold it; at most one of them does.
 _PARTS = {
@@ -115,10 +115,17 @@ def normalize_instants(
     do not matter. An all-numeric date whose order is not told (or told as year-first while the year stands last) is
     read in the only order that gives a date; where both do, dots mean day first and anything else is ``invalid``.
     An abbreviation or region that is not known, and a region in ``zone`` that is not known, tell no zone.
-    Columns of ``df`` are kept; names beginning with ``__`` are reserved.
+    Columns of ``df`` are kept, whatever their names; one named as a result is replaced by it.
     """
+    results = {f"{prefix}_us", f"{prefix}_reason"}
+    names = {c: f"__in{i}" for i, c in enumerate(df.columns)}
+    out = _normalized(df.toDF(*names.values()), names[text], names[zone] if zone else None, names[order] if order else None, prefix)
+    return out.select(*[F.col(new).alias(c) for c, new in names.items() if c not in results], f"{prefix}_us", f"{prefix}_reason")
+
+
+def _normalized(df: DataFrame, text: str, zone: str | None, order: str | None, prefix: str) -> DataFrame:
     regions = known_regions(df.sparkSession)
-    raw = F.col(f"`{text}`")
+    raw = F.col(text)
     parts = F.split(F.regexp_replace(raw, F.lit(PATTERN), F.lit(_REPLACEMENT)), _SEP, -1)
     names = list(_PARTS)
     out = _computed(df, __p=F.when(raw.isNotNull(), parts))
@@ -126,8 +133,8 @@ def normalize_instants(
     text_of = {n: F.nullif(F.get("__p", F.lit(i)), F.lit("")) for i, n in enumerate(names)}
     text_of["epoch"] = F.nullif(F.substring(F.get("__p", F.lit(0)), 2, 40), F.lit(""))
     number = lambda n: text_of[n].try_cast("bigint")
-    order_col = F.col(f"`{order}`") if order else F.lit(None).cast("string")
-    zone_col = F.col(f"`{zone}`") if zone else F.lit(None).cast("string")
+    order_col = F.col(order) if order else F.lit(None).cast("string")
+    zone_col = F.col(zone) if zone else F.lit(None).cast("string")
     n1, n2, n3, year_last = number("n1"), number("n2"), number("n3"), F.length(text_of["n3"]) == 4
     shape = (
         F.when(order_col.isin("MDY", "DMY"), order_col)

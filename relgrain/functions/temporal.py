@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, Window as W
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +63,9 @@ def gap_seconds(name: str, kind: T.DataType, by: str, ties: Sequence[str] = ())
     t = event_time(name, kind)
     before = F.lag(t).over(W.partitionBy(F.col(f"`{by}`")).orderBy(t, *[F.col(f"`{x}`") for x in ties]))
     return F.timestamp_diff("SECOND", before, t)
+
+
+def clean_times(df: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """Rows whose column is a time, as ``timestamp_ntz`` in the session's zone, and an aggregate over ``df``: the percentage of rows left out."""
+    t = event_time(name, df.schema[name].dataType).cast("timestamp_ntz")
+    return df.withColumn(name, t).filter(F.col(f"`{name}`").isNotNull()), (F.avg(F.when(t.isNull(), 100.0).otherwise(0.0))).alias("percent_removed")

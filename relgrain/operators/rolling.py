@@ -14,7 +14,7 @@ def rolling_totals(df: DataFrame, entity: str, day: str, value: str, periods: tu
     ``day`` is an integer day number; a period of p days is the day itself and the p - 1 before it. Counts are of
     rows; sums and averages are over the values that are not null and null where there are none. Rows without entity
     or day have no place in the calendar and are left out. Columns of ``df`` other than the three named don't matter;
-    an empty table gives an empty result.
+    an empty table gives an empty result. (If the entity's column is called ``day``, the day comes out as ``on_day``.)
 
     Rows become daily totals first, combined before the shuffle, so an entity with any share of the rows is at most a
     row per day. Each daily total is exploded onto the output days it influences, and the calendar's days join as
@@ -40,7 +40,7 @@ def rolling_totals(df: DataFrame, entity: str, day: str, value: str, periods: tu
         inside = F.col("__o") - F.col("__d") < p
         aggs += [F.sum(F.when(inside, F.col("__n")).otherwise(0)).alias(f"n_{p}d"), F.sum(F.when(inside, F.col("__k")).otherwise(0)).alias(f"__k{p}"), F.sum(F.when(inside, F.col("__s"))).alias(f"__s{p}")]
     out = spread.groupBy("__e", "__o").agg(*aggs)
-    columns = [F.col("__e").alias(entity), F.date_from_unix_date("__o").alias("day")]
+    columns = [F.col("__e").alias(entity), F.date_from_unix_date("__o").alias("day" if entity != "day" else "on_day")]
     for p in periods:
         total = F.col(f"__s{p}").cast("decimal(38,0)")
         columns += [F.col(f"n_{p}d"), total.alias(f"sum_{p}d"), F.when(F.col(f"__k{p}") > 0, total.cast("double") / F.col(f"__k{p}")).alias(f"avg_{p}d")]

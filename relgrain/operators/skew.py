@@ -128,16 +128,18 @@ def per_key_results(
     Exact and complete, whatever share of the rows a key has. ``order`` is a time (microseconds come out) or a whole
     number; ``max_gap`` is the longest step between rows next to each other in that order, ties giving 0, and null for
     fewer than two. Null values and orders are left out of what is made of them; rows with a null key are a key of
-    their own. Extra columns don't matter. An empty table gives no rows.
+    their own. Extra columns don't matter; a result named like a key gets a ``_``. An empty table gives no rows.
 
     Ordered states are merged by key: a key has at most a state per chunk, partition and Arrow batch.
     """
-    states = chunk_states(df, keys, order, value, chunk_rows, partitions)
+    own = [f"__k{i}" for i in range(len(keys))]  # keys may be named like results
+    named = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)], *([F.col(f"`{order}`").alias("__order")] if order else []), *([F.col(f"`{value}`").alias("__value")] if value else []))
+    states = chunk_states(named, own, order and "__order", value and "__value", chunk_rows, partitions)
     # omax is ascending over a key's states, so the last one before is the largest before.
-    earlier = Window.partitionBy(*keys).orderBy("pid", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*own).orderBy("pid", "seq").rowsBetween(Window.unboundedPreceding, -1)
     states = states.withColumn("gap", F.greatest("gap", F.col("omin") - F.max("omax").over(earlier)))
     total = F.sum(F.col("hi").cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(11,0)") + F.sum(F.col("lo").cast("decimal(20,0)"))
-    return states.groupBy(*keys).agg(
+    out = states.groupBy(*own).agg(
         F.sum("n").alias("n"),
         F.sum("nv").alias("n_value"),
         F.when(F.sum("nv") > 0, total.cast("decimal(38,0)")).alias("sum_value"),
@@ -148,6 +150,7 @@ def per_key_results(
         F.max("gap").alias("max_gap"),
         F.count_distinct("chunk").alias("chunks"),
     )
+    return out.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], *[F.col(c).alias(f"{c}_" if c in keys else c) for c in out.columns if c not in own])
 
 
 def heavy_keys(df: DataFrame, group: str, key: str, share: float, chunk_rows: int = 100_000) -> DataFrame:

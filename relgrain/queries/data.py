@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.instants import NORMAL, micros_text, normalize_instants
+from ..functions.instants import ABBREVIATIONS, NORMAL, micros_text, normalize_instants
 from ..operators.bitsliced import entity_features
 from ..operators.orphans import Reference, current_orphans, orphan_rows
 from ..operators.rolling import rolling_totals
@@ -186,3 +186,53 @@ SQL = {
   FROM c LEFT JOIN p USING (table_name, key) WHERE c.key IS NOT NULL GROUP BY c.table_name, c.key
   HAVING sum(CASE WHEN c.gone IS NULL THEN 1 ELSE 0 END) > 0 AND max(CASE WHEN p.key IS NULL THEN 0 WHEN p.died IS NULL THEN 1 ELSE 0 END) = 0""",
 }
+
+#: The texts parsed another way, by strptime formats and the zone rules of ICU, for the tables' own formats.
+_MINUTES = ", ".join(f"('{a}', {m})" for a, m in ABBREVIATIONS.items())
+_INSTANTS = r"""
+  WITH raw AS (
+    SELECT DISTINCT 'cust_orders' AS table_name, id AS row_id, ts, source_system, customer_id, amount FROM cust_orders
+    UNION ALL SELECT DISTINCT 'notifications', id, ts, source_system, NULL, NULL FROM notifications
+    UNION ALL SELECT DISTINCT 'city', city_id, last_update, source_system, NULL, NULL FROM city),
+  abbreviations(abbr, minutes) AS (VALUES """ + _MINUTES + r"""),
+  cleaned AS (
+    SELECT raw.*, time_zone, coalesce(date_order, '') AS date_order, trim(regexp_replace(ts, '[\s\pZ\x{200B}-\x{200D}\x{2060}\x{FEFF}]', ' ', 'g')) AS s
+    FROM raw LEFT JOIN source_systems USING (source_system)),
+  zoned AS (
+    SELECT *, regexp_extract(s, '(?:\d:\d\d(?::\d\d)?(?:[.,]\d+)?|T\d{6})\s*([+-]\d\d:?(?:\d\d)?)(?:\[.*\])?$', 1) AS off,
+      regexp_extract(s, '\s([A-Za-z]+/[A-Za-z_/]+)$', 1) AS region,
+      CASE WHEN upper(regexp_extract(s, '\d\s*([A-Za-z]{1,5})$', 1)) IN ('AM', 'PM') THEN '' ELSE upper(regexp_extract(s, '\d\s*([A-Za-z]{1,5})$', 1)) END AS abbr FROM cleaned),
+  locals AS (
+    SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      CASE WHEN off <> '' OR region <> '' OR abbr <> '' THEN regexp_replace(s, '(\s*[+-]\d\d:?(\d\d)?(\[.*\])?|\s+[A-Za-z]+/[A-Za-z_/]+|\s*[A-Za-z]{1,5})$', '') ELSE s END,
+      '(\d)[Tt](\d)', '\1 \2'), ',(\d+)$', '.\1'), '(\.\d{6})\d+$', '\1'), '^[A-Za-z]{3}, ', '') AS l FROM zoned),
+  parsed AS (
+    SELECT *, CASE WHEN regexp_matches(s, '^\d{10}(\.\d+)?$') THEN CAST(CAST(s AS DECIMAL(30,6)) * 1000000 AS BIGINT) WHEN regexp_matches(s, '^\d{13}$') THEN CAST(s AS BIGINT) * 1000 WHEN regexp_matches(s, '^\d{16}$') THEN CAST(s AS BIGINT) END AS epoch,
+      CASE WHEN regexp_matches(l, '^\d{4}-') THEN try_strptime(l, ['%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d'])
+        WHEN regexp_matches(l, '^\d{8}$') THEN try_strptime(l, '%Y%m%d') WHEN regexp_matches(l, '^\d{14}$') THEN try_strptime(l, '%Y%m%d%H%M%S') WHEN regexp_matches(l, '^\d{8} \d{6}$') THEN try_strptime(l, '%Y%m%d %H%M%S')
+        WHEN regexp_matches(l, '^\d{1,2}[/.]\d{1,2}[/.]\d{2}( |$)') AND date_order = 'MDY' THEN try_strptime(replace(l, '.', '/'), '%m/%d/%y %H:%M')
+        WHEN regexp_matches(l, '^\d{1,2}[/.]\d{1,2}[/.]\d{2}( |$)') AND date_order = 'DMY' THEN try_strptime(replace(l, '.', '/'), '%d/%m/%y %H:%M')
+        WHEN regexp_matches(l, '^\d{1,2}[/.]\d{1,2}[/.]\d{2}( |$)') THEN try_strptime(replace(l, '.', '/'), '%y/%m/%d %H:%M')
+        WHEN regexp_matches(l, '^\d{1,2}[/.]\d') AND date_order = 'MDY' THEN try_strptime(upper(replace(l, '.', '/')), ['%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y %H:%M', '%m/%d/%Y'])
+        WHEN regexp_matches(l, '^\d{1,2}[/.]\d') THEN try_strptime(upper(replace(l, '.', '/')), ['%d/%m/%Y %I:%M:%S %p', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M', '%d/%m/%Y'])
+        WHEN regexp_matches(l, '^\d{1,2} [A-Z]') THEN try_strptime(l, ['%d %b %Y %H:%M:%S', '%d %B %Y %H:%M'])
+        WHEN regexp_matches(l, '^[A-Z][a-z]+ \d') THEN try_strptime(l, '%B %d, %Y %I:%M %p') END AS local FROM locals),
+  known AS (
+    SELECT parsed.*, CASE WHEN off <> '' THEN (CASE off[1] WHEN '-' THEN -1 ELSE 1 END) * (CAST(off[2:3] AS INTEGER) * 60 + coalesce(TRY_CAST(replace(off[4:], ':', '') AS INTEGER), 0)) ELSE minutes END AS fixed,
+      CASE WHEN off = '' AND minutes IS NULL THEN coalesce(nullif(region, ''), CASE WHEN abbr = '' THEN time_zone END) END AS zone FROM parsed LEFT JOIN abbreviations USING (abbr)),
+  tried AS (
+    SELECT *, CASE WHEN zone IS NOT NULL AND local IS NOT NULL THEN list_sort(list_distinct([x FOR x IN [epoch_us(timezone(zone, local)) + d * 900000000 FOR d IN generate_series(-8, 8)] IF timezone(zone, make_timestamptz(x)) = local])) END AS at_zone FROM known),
+  done AS (
+    SELECT *, CASE WHEN ts IS NULL THEN NULL WHEN epoch IS NULL AND local IS NULL THEN 'invalid' WHEN epoch IS NOT NULL OR fixed IS NOT NULL THEN NULL WHEN zone IS NULL THEN 'no_zone'
+        WHEN NOT regexp_matches(l, '^[\d/.-]{8,10}$') AND len(at_zone) = 0 THEN 'nonexistent' WHEN NOT regexp_matches(l, '^[\d/.-]{8,10}$') AND len(at_zone) > 1 THEN 'ambiguous' END AS reason,
+      CASE WHEN epoch IS NOT NULL THEN epoch WHEN fixed IS NOT NULL THEN epoch_us(local) - CAST(fixed AS BIGINT) * 60000000 ELSE at_zone[1] END AS us FROM tried)
+"""
+SQL["p5_found"] = _INSTANTS + r"""SELECT table_name, row_id, coalesce(reason, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ')) AS outcome FROM done
+  WHERE ts IS NOT NULL AND NOT regexp_full_match(ts, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z')"""
+SQL["p5_outcomes"] = _INSTANTS + """SELECT table_name, source_system, CASE WHEN ts IS NULL THEN 'null' ELSE coalesce(reason, 'instant') END AS outcome, count(*) AS n FROM done GROUP BY ALL"""
+SQL["p1_rolling"] = _INSTANTS + """, daily AS (SELECT customer_id, CAST(make_timestamp(us) AS DATE) AS day, count(*) AS n, count(amount) AS k, sum(amount) AS s FROM done
+    WHERE table_name = 'cust_orders' AND customer_id IS NOT NULL AND us IS NOT NULL AND reason IS NULL GROUP BY customer_id, day),
+  days AS (SELECT customer_id, CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM daily GROUP BY customer_id),
+  w AS (SELECT customer_id, day, sum(coalesce(n, 0)) OVER a AS n7, sum(k) OVER a AS k7, sum(s) OVER a AS s7, sum(coalesce(n, 0)) OVER b AS n30, sum(k) OVER b AS k30, sum(s) OVER b AS s30 FROM days LEFT JOIN daily USING (customer_id, day)
+    WINDOW a AS (PARTITION BY customer_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), b AS (PARTITION BY customer_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+  SELECT customer_id, day, CAST(n7 AS BIGINT) AS n_7d, CAST(s7 AS DECIMAL(38,0)) AS sum_7d, CAST(s7 AS DOUBLE) / nullif(k7, 0) AS avg_7d, CAST(n30 AS BIGINT) AS n_30d, CAST(s30 AS DECIMAL(38,0)) AS sum_30d, CAST(s30 AS DOUBLE) / nullif(k30, 0) AS avg_30d FROM w"""
