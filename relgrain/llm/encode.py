@@ -23,9 +23,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     """The columns of ``df`` but ``text``, and ``ids``: the token ids of the whole text, without special tokens.
 
     An empty and a null text have no ids. Strings of special tokens in a text are ordinary text. A row of any length
-    is encoded whole. ``df`` must have no other column named ``ids``. Narrow: nothing is shuffled.
+    is encoded whole. A column of ``df`` named as the result is replaced by it. Narrow: nothing is shuffled.
     """
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(path).encode_packed
@@ -47,7 +47,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def token_counts(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """The columns of ``df`` but ``text``, and the number of tokens of the whole text; 0 for an empty or null one."""
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path).count

@@ -21,17 +21,34 @@ _TAG = re.compile(r"<[^<>]*>")
 #: Marks that stand for what was left out. One alone proves nothing: people write and quote them too.
 _MARK = re.compile(r"(?:\s*(?:\.{3}|…|\[[^\[\]\n]{0,40}\]|\([a-z ]{0,40}\)|-{2,3} [^\n]{0,60} -{2,3}))\s*\Z")
 _WORD = re.compile(r"[^\W\d_]+")
-_LAST_WORD = re.compile(r"([^\W\d_]+)\Z")
 _END = re.compile(r"[.!?。！？…:;]['\")»”\]]*\Z|[)\]]\Z|[^\w\s.,&%$€£/\\'\"<>=+*@#-]\Z")
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 _STOP = re.compile(r"[.!?。！？]['\")»”]*(?=\s|\Z)")
 
 
+#: How far back a mark or the end of a sentence is looked for: more than the longest of them.
+_TAIL = 400
+
+
+def _unmarked(text: str) -> str:
+    """The text without a mark at its end. Only the end is searched, so a text of any length takes as long as its end."""
+    return text[:-_TAIL] + _MARK.sub("", text[-_TAIL:])
+
+
+def _last_word(text: str) -> str | None:
+    at = len(text)
+    while at and _WORD.match(text[at - 1]):
+        at -= 1
+    return text[at:] or None
+
+
 class Ending(NamedTuple):
     structure: str | None  #: what is unfinished: headers, multipart, markup, encoding
     token: str | None  #: the word with which the text stops, unless something follows it
-    before: str | None  #: the word before
+    pair: str | None  #: that word and the one before
+    bare: bool  #: it is in small letters and stands alone, not in an address or the like
     prose: bool  #: it stops within a sentence of running text
+    whole: bool  #: it ends with what closes its structure, so nothing can be missing
     body_chars: int
     body_bytes: int
 
@@ -84,14 +101,14 @@ def stopped_in_sentence(text: str) -> bool:
     told by what comes before in its last paragraph: a finished sentence, or enough words after a capital letter.
     """
     text = _QUOTE.sub("", text.replace("\r\n", "\n")).rstrip()
-    if not text or _END.search(text):
+    if not text or _END.search(text[-_TAIL:]):
         return False
     paragraph = re.split(r"\n\s*\n", text)[-1]
     lines = paragraph.split("\n")
     last = lines[-1].strip()
     if re.match(r"[-*•] |_{5,}|https?://|To leave |Sent from |Get |Tel\. |[\w=]+=\S|>>>|ERROR|x = ", last) or re.search(r" {3,}\S", last):
         return False
-    if re.search(r"\S+://\S*\Z", last):
+    if "://" in last.split()[-1]:
         return False
     # What follows a line that announces a quotation stands for itself.
     announced = [k for k, x in enumerate(lines) if x.rstrip().endswith((":", "："))]
@@ -124,7 +141,7 @@ def ending(text: str) -> Ending | None:
     cut = _HEAD_END.search(text)
     own = bool(_HEADER.match(text))
     if own and not cut:
-        return Ending("headers", None, None, False, 0, 0)
+        return Ending("headers", None, None, False, False, False, 0, 0)
     head, body = (text[: cut.start()], text[cut.end() :]) if own else ("", text)
     flat = _FOLD.sub(" ", head)
     structure, sizes = None, (len(body), len(body.encode("utf-8", "replace")))
@@ -132,13 +149,13 @@ def ending(text: str) -> Ending | None:
     part_head, part = head, body
     if m:
         if f"--{m.group(1)}--" in body:
-            return Ending(None, None, None, False, *sizes)
+            return Ending(None, None, None, False, False, body.rstrip().endswith(f"--{m.group(1)}--"), *sizes)
         structure = "multipart"
         part_head, part = _last_part(head, body)
     flat = _FOLD.sub(" ", part_head)
     kind, encoding = _TYPE.search(flat), _ENCODING.search(flat)
     kind, encoding = (kind.group(1).lower() if kind else "text/plain"), (encoding.group(1).lower() if encoding else None)
-    unmarked = _MARK.sub("", part.rstrip())
+    unmarked = _unmarked(part.rstrip())
     marked = unmarked != part.rstrip()
     readable, half = _decode(unmarked if marked and encoding else part, encoding if kind.startswith("text/") else None)
     if half and not structure:
@@ -146,16 +163,19 @@ def ending(text: str) -> Ending | None:
     markup = readable.lower()
     if not structure and (("<html" in markup and "</html" not in markup) or re.search(r"<[a-zA-Z/][^<>]*\Z", readable.rstrip())):
         structure = "markup"
+    whole = not structure and markup.rstrip().endswith("</html>")
     if not kind.startswith("text/"):
-        return Ending(structure, None, None, False, *sizes)
+        return Ending(structure, None, None, False, False, whole, *sizes)
     plain = html.unescape(_TAG.sub(" ", readable)) if "</" in readable or kind == "text/html" else readable
     plain = plain.rstrip()
-    bare = _MARK.sub("", plain) if marked else plain
-    if _END.search(bare) and bare != plain:
-        return Ending(structure, None, None, False, *sizes)
-    w = _LAST_WORD.search(bare)
-    words = _WORD.findall(bare[-200:])
-    return Ending(structure, w.group(1) if w else None, words[-2] if w and len(words) > 1 else None, stopped_in_sentence(bare), *sizes)
+    bare = _unmarked(plain) if marked else plain
+    if _END.search(bare[-_TAIL:]) and bare != plain:
+        return Ending(structure, None, None, False, False, whole, *sizes)
+    token = _last_word(bare)
+    near = _WORD.findall(bare[-_TAIL:]) if token else []
+    pair = f"{near[-2]} {token}" if len(near) > 1 and near[-1] == token else None
+    alone = bool(token) and token[0].islower() and len(bare[-_TAIL:].split()[-1]) - len(token) <= 2
+    return Ending(structure, token, pair, alone, stopped_in_sentence(bare), whole, *sizes)
 
 
 def words(text: str) -> list[str]:

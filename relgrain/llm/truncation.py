@@ -12,46 +12,51 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, small
 from .messages import ending, words
 
-_SCAN = "doc_id bigint, source string, structure string, token string, prose boolean, chars int, bytes int, body_chars int, body_bytes int, lines int, word string, n bigint"
+_SCAN = "doc_id bigint, source string, structure string, token string, pair string, bare boolean, prose boolean, whole boolean, chars int, bytes int, body_chars int, body_bytes int, lines int, word string, n bigint"
 #: Measures of a text, and the size from which each can be a limit.
 _MEASURES = {"chars": 100, "bytes": 100, "body_chars": 100, "body_bytes": 100, "lines": 20}
 
 
 def _scan(longest_word: int, held: int = 300_000):
     schema = pa.schema(
-        [("doc_id", pa.int64()), *((c, pa.string()) for c in ("source", "structure", "token")), ("prose", pa.bool_()), *((c, pa.int32()) for c in _MEASURES), ("word", pa.string()), ("n", pa.int64())]
+        [("doc_id", pa.int64()), *((c, pa.string()) for c in ("source", "structure", "token", "pair")), ("bare", pa.bool_()), ("prose", pa.bool_()), ("whole", pa.bool_()), *((c, pa.int32()) for c in _MEASURES), ("word", pa.string()), ("n", pa.int64())]
     )
 
-    def tally(counts: Counter) -> pa.RecordBatch:
-        known = [w for w in counts if len(w) <= longest_word]
-        none = pa.nulls(len(known))
-        return pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:-2]), pa.array(known, pa.string()), pa.array([counts[w] for w in known], pa.int64())], schema=schema)
+    def tally(counts: Counter, pairs: Counter) -> pa.RecordBatch:
+        words = [(w, n) for w, n in counts.items() if len(w) <= longest_word]
+        words += [(f"{a} {b}", n) for (a, b), n in pairs.items() if len(a) <= longest_word and len(b) <= longest_word]
+        counts.clear()
+        pairs.clear()
+        none = pa.nulls(len(words))
+        return pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:-2]), pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts, pairs = Counter(), Counter()
         for batch in batches:
             rows = []
             for doc_id, source, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "source", "text"))):
                 end = ending(text)
                 if end is None:
-                    rows.append((doc_id, source, None, None, False, *[None] * len(_MEASURES)))
+                    rows.append((doc_id, source, None, None, None, False, False, False, *[None] * len(_MEASURES)))
                     continue
-                counts.update(words(text))
-                rows.append((doc_id, source, end.structure, end.token, end.prose, len(text), len(text.encode("utf-8", "replace")), end.body_chars, end.body_bytes, text.count("\n") + 1))
+                found = words(text)
+                counts.update(found)
+                pairs.update(zip(found, found[1:]))
+                rows.append((doc_id, source, end.structure, end.token, end.pair, end.bare, end.prose, end.whole, len(text), len(text.encode("utf-8", "replace")), end.body_chars, end.body_bytes, text.count("\n") + 1))
             if rows:
                 none = pa.nulls(len(rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*rows), schema)), none.cast(pa.string()), none.cast(pa.int64())], schema=schema)
-            if len(counts) >= held:
-                yield tally(counts)
-                counts.clear()
+            if len(counts) + len(pairs) >= held:
+                yield tally(counts, pairs)
         if counts:
-            yield tally(counts)
+            yield tally(counts, pairs)
 
     return run
 
 
 def scan_endings(documents: DataFrame, longest_word: int = 64) -> tuple[DataFrame, DataFrame]:
-    """One pass over the whole texts: a row per document on how it ends, and the words of all texts with counts.
+    """One pass over the whole texts: a row per document on how it ends, and the words and pairs of words of all texts
+    with counts.
 
     The words with which texts stop are not counted. Runs of more than ``longest_word`` letters aren't words. What the
     pass gives is small beside the texts and is written as a checkpoint.
@@ -62,22 +67,37 @@ def scan_endings(documents: DataFrame, longest_word: int = 64) -> tuple[DataFram
 
 
 def trie_nodes(vocabulary: DataFrame, known_from: int = 3) -> DataFrame:
-    """The trie of the words seen at least ``known_from`` times, a row per node: ``prefix, is_word, below``.
+    """The trie of the words and pairs seen at least ``known_from`` times, a row per node: ``prefix, n, below``.
 
-    ``below`` counts the words that go on from the node. Nodes are made where the words are and combined before the
+    ``n`` is how often the node itself was seen, null if it is none of them; ``below`` counts those that go on from
+    it. A pair's nodes begin within its second word. Nodes are made where the words are and combined before the
     shuffle.
     """
-    known = vocabulary.filter(F.col("n") >= known_from).select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("size"))
+    first = F.instr("word", " ")
+    known = vocabulary.filter(F.col("n") >= known_from).select("word", "n", F.explode(F.sequence(first + 1, F.length("word"))).alias("size"))
     whole = F.col("size") == F.length("word")
-    nodes = known.select(F.substring("word", F.lit(1), F.col("size")).alias("prefix"), whole.alias("whole"))
-    return nodes.groupBy("prefix").agg(F.max("whole").alias("is_word"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("below"))
+    nodes = known.select(F.substring("word", F.lit(1), F.col("size")).alias("prefix"), whole.alias("whole"), "n")
+    return nodes.groupBy("prefix").agg(F.max(F.when(F.col("whole"), F.col("n"))).alias("n"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("below"))
+
+
+def cut_ends(endings: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02) -> DataFrame:
+    """Last words and pairs, each once, that tell a cut: ``last, unknown_prefix, goes_on``.
+
+    ``unknown_prefix``: the trie doesn't know it but knows something that it is a proper prefix of. ``goes_on``: a
+    pair that is seen ``goes_on_from`` times within texts and next to never at their end.
+    """
+    lasts = endings.select(F.explode(F.array("token", "pair")).alias("last")).filter("last is not null").groupBy("last").agg(F.count("*").alias("ends"))
+    seen = lasts.join(nodes, F.col("last") == F.col("prefix"))
+    goes_on = F.contains("last", F.lit(" ")) & (F.col("n") >= goes_on_from) & (F.col("ends") <= F.greatest(F.lit(1.0), ends_at_most * F.col("n")))
+    out = seen.select("last", (F.col("n").isNull() & (F.col("below") > 0)).alias("unknown_prefix"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
+    return out.filter("unknown_prefix or goes_on")
 
 
 def length_limits(endings: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
     """``source, measure, size, n``: sizes at which a source's texts pile up because longer ones were cut there.
 
     A cut puts all longer texts at one size, so that size holds much of what is that long or longer: at least
-    ``share`` of it, and ``least`` texts. Texts are measured in characters and bytes, with and without their headers,
+    ``share`` of it, and ``least`` texts. And it stands out: it holds five times what the ten sizes below hold each. Texts are measured in characters and bytes, with and without their headers,
     and in lines.
     A source whose limit changed, or that puts a mark where it cuts, has several. Counts per size are combined before
     the shuffle; the running sum is over a source's sizes, not its texts.
@@ -86,7 +106,9 @@ def length_limits(endings: DataFrame, least: int = 3, share: float = 0.2) -> Dat
     shortest = F.create_map(*[F.lit(x) for kv in _MEASURES.items() for x in kv])
     counts = sizes.filter(F.col("size") >= shortest[F.col("measure")]).groupBy("source", "measure", "size").agg(F.count("*").alias("n"))
     longer = F.sum("n").over(Window.partitionBy("source", "measure").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("from_here", longer).filter((F.col("n") >= least) & (F.col("n") >= share * F.col("from_here"))).drop("from_here")
+    near = F.coalesce(F.sum("n").over(Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-10, -1)), F.lit(0))
+    out = counts.withColumns({"from_here": longer, "near": near})
+    return out.filter((F.col("n") >= least) & (F.col("n") >= share * F.col("from_here")) & (F.col("n") * 2 >= F.col("near"))).drop("from_here", "near")
 
 
 def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> DataFrame:
@@ -94,31 +116,35 @@ def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> Dat
 
     ``doc_id, source, structure, unknown_prefix, at_limit, prose, truncated``. A text is taken as cut if
 
-    * its last word is no word of the corpus but a proper prefix of some (the trie), or
-    * its size is one at which its source cuts, or
+    * its last word, alone or after the word before it, is unknown to the trie of the corpus's words and pairs but a
+      proper prefix of some, or
+    * its size is one at which its source cuts, and it doesn't end with what closes a multipart or markup, or
     * its own structure is unfinished (headers, multipart, markup or a transfer encoding), or
-    * it stops within a sentence of running text.
+    * it stops within a sentence of running text (``prose``), seen by its last paragraph or by a last pair of words
+      that elsewhere goes on.
 
-    Null, empty and blank texts are not cut. A word is one of the corpus if it is seen ``known_from`` times other than
-    as the last of a text. Last words are looked up once each; those found are joined back with ``salts`` copies each,
-    so that a word with which many texts end is spread.
+    Null, empty and blank texts are not cut. Words and pairs are known if seen ``known_from`` times other than as the
+    last of a text. Last words are looked up once each; those that tell a cut are joined back with ``salts`` copies
+    each, so that a word with which many texts end is spread.
     """
     endings, vocabulary = scan_endings(documents)
-    nodes = trie_nodes(vocabulary, known_from)
-    tokens = endings.filter("token is not null").select("token").distinct()
-    cut = tokens.join(nodes, F.col("token") == F.col("prefix")).filter((~F.col("is_word")) & (F.col("below") > 0))
-    cut = cut.select("token", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("unknown_prefix"))
+    cut = cut_ends(endings, trie_nodes(vocabulary, known_from)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    words = cut.filter("unknown_prefix").select(F.col("last").alias("token"), "salt", F.lit(True).alias("cut_word"))
+    pairs = cut.filter(F.contains("last", F.lit(" "))).select(F.col("last").alias("pair"), "salt", F.col("unknown_prefix").alias("cut_pair"), "goes_on")
     limits = length_limits(endings)
     lists = limits.groupBy("source").agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("size"))).alias(f"l_{m}") for m in _MEASURES])  # few a source: each holds a share of what is above
     lists = small(lists.withColumn("__s", F.coalesce("source", F.lit("\0"))).drop("source"))
-    out = endings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(cut, ["token", "salt"], "left")
+    salted = endings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    out = salted.join(words, ["token", "salt"], "left").join(pairs, ["pair", "salt"], "left")
     out = out.withColumn("__s", F.coalesce("source", F.lit("\0"))).join(lists, "__s", "left")
     at = F.lit(False)
     for m in _MEASURES:
         at = at | F.coalesce(F.array_contains(f"l_{m}", F.col(m)), F.lit(False))
-    unknown = F.coalesce("unknown_prefix", F.lit(False))
-    verdict = unknown | at | F.col("structure").isNotNull() | F.col("prose")
-    return out.select("doc_id", "source", "structure", unknown.alias("unknown_prefix"), at.alias("at_limit"), "prose", F.coalesce(verdict, F.lit(False)).alias("truncated"))
+    at = at & ~F.col("whole")
+    unknown = F.coalesce("cut_word", F.lit(False)) | F.coalesce("cut_pair", F.lit(False))
+    prose = F.col("prose") | (F.col("bare") & F.coalesce("goes_on", F.lit(False)))
+    verdict = unknown | at | F.col("structure").isNotNull() | prose
+    return out.select("doc_id", "source", "structure", unknown.alias("unknown_prefix"), at.alias("at_limit"), prose.alias("prose"), F.coalesce(verdict, F.lit(False)).alias("truncated"))
 
 
 def truncation_by_source(documents: DataFrame) -> DataFrame:
