@@ -29,7 +29,7 @@ _MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?
 _WEEKDAY = rf"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\.?,?{_B}+)?"
 _DATES = [
     r"(?<ya>\d{4})[-/.](?<ma>\d{1,2})[-/.](?<da>\d{1,2})",
-    r"(?<na>\d{1,2})(?<sep>[-/.])(?<nb>\d{1,2})[-/.](?<nc>\d{4}|\d{2})",
+    r"(?<na>\d{1,2})(?<sep>[-/.])(?<nb>\d{1,2})[-/.](?<nc>\d{4}|\d{1,2})",
     rf"{_WEEKDAY}(?<dd>\d{{1,2}})(?:st|nd|rd|th)?(?:{_B}|-)+(?<md>{_MONTH})\.?,?(?:{_B}|-)+(?<yd>\d{{4}}|\d{{2}})",
     rf"{_WEEKDAY}(?<me>{_MONTH})\.?{_B}+(?<de>\d{{1,2}})(?:st|nd|rd|th)?,?{_B}+(?<ye>\d{{4}})",
 ]
@@ -150,7 +150,7 @@ def _normalized(df: DataFrame, text: str, zone: str | None, order: str | None, p
     hour = number("h")
     struct = F.struct(
         ok.alias("ok"),
-        F.when(numeric, F.when(shape == "YMD", century(n1)).otherwise(century(n3))).otherwise(F.when(y4, number("y")).otherwise(century(number("y")))).alias("y"),
+        F.when(numeric, F.when(shape == "YMD", F.when(F.length(text_of["n1"]) > 1, century(n1))).when(F.length(text_of["n3"]) > 1, century(n3))).otherwise(F.when(y4, number("y")).otherwise(century(number("y")))).alias("y"),
         F.when(numeric, F.when(shape == "DMY", n2).when(shape == "MDY", n1).when(shape == "YMD", n2)).when(text_of["mon"].isNotNull(), named).otherwise(number("mo")).alias("m"),
         F.when(numeric, F.when(shape == "DMY", n1).when(shape == "MDY", n2).when(shape == "YMD", n3)).otherwise(number("d")).alias("d"),
         hour.isNull().alias("dateonly"),
