@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: The schemes of the file systems that a root can name.
 SCHEMES = {"local": "file://", "s3": "s3a://", "gcs": "gs://", "blob": "abfss://", "hdfs": "hdfs://", "databricks": "dbfs:"}
@@ -34,7 +35,7 @@ class Store:
         df.write.mode("overwrite").format(kind).options(**options).save(self.path(name))
         return self.path(name)
 
-    def read(self, spark: SparkSession, name: str, schema: str | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, schema: StructType | str | None = None) -> DataFrame:
         kind, options = self._format()
         reader = spark.read.format(kind).options(**options)
         return (reader.schema(schema) if schema else reader).load(self.path(name))
@@ -42,7 +43,7 @@ class Store:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write and read again: the lineage ends here, and the copy is where all executors can read it."""
         self.write(df, name)
-        return self.read(df.sparkSession, name, df.schema.simpleString()[7:-1] if self.format in ("csv", "tsv") else None)
+        return self.read(df.sparkSession, name, df.schema if self.format in ("csv", "tsv", "json") else None)
 
 
 def replace_table(df: DataFrame, name: str, format: str = "parquet") -> DataFrame:
