@@ -22,6 +22,7 @@ _TAG = re.compile(r"<[^<>]*>")
 _MARK = re.compile(r"(?:\s*(?:\.{3}|…|\[[^\[\]\n]{0,40}\]|\([a-z ]{0,40}\)|-{2,3} [^\n]{0,60} -{2,3}))\s*\Z")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?。！？…:;]['\")»”\]]*\Z|[)\]]\Z|[^\w\s.,&%$€£/\\'\"<>=+*@#-]\Z")
+_HEADER_LINE = re.compile(r"(?:From|To|Cc|Subject|Date|Reply-To|In-Reply-To|References|Received|Message-ID|MIME-Version|Content-[\w-]+):", re.I)
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 _STOP = re.compile(r"[.!?。！？]['\")»”]*(?=\s|\Z)")
 
@@ -108,7 +109,7 @@ def stopped_in_sentence(text: str) -> bool:
     last = lines[-1].strip()
     if re.match(r"[-*•] |_{5,}|https?://|To leave |Sent from |Get |Tel\. |[\w=]+=\S|>>>|ERROR|x = ", last) or re.search(r" {3,}\S", last):
         return False
-    if "://" in last.split()[-1]:
+    if "://" in last.split()[-1] or _HEADER_LINE.match(last):
         return False
     # What follows a line that announces a quotation stands for itself.
     announced = [k for k, x in enumerate(lines) if x.rstrip().endswith((":", "："))]

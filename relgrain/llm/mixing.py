@@ -44,7 +44,8 @@ def solve_rate(source: str, tokens: np.ndarray, target: float, cap: int) -> Rate
 
     ``tokens`` has the tokens of the documents whose hash is in each bin. The number of copies of a document, the
     inverse of the Poisson distribution at its hash, does not fall as the mean grows; so the sum over the documents
-    there are, not only its expectation, is solved for, and capping is allowed for. Where even ``cap`` copies of all
+    there are, not only its expectation, is solved for, and capping is allowed for; what is left is at most the tokens
+    of ``cap`` bins, one in 4096 of the source's tokens each on average. Where even ``cap`` copies of all
     documents don't reach the target, all are used ``cap`` times.
     """
     above = np.concatenate([np.cumsum(tokens[::-1])[::-1], [0]]).astype(float)  # from each bin's lower border on
