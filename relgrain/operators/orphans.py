@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Reference:
-    """Child records that name a parent. ``children``: row_id, key, at, gone; ``parents``: key, at, gone; one row a record."""
+    """Child records that name a parent. ``children``: row_id, key, at, gone; ``parents``: key, at, gone; one row a record.
+
+    ``size`` is how many children there are at most, such as the stored rows, copies included, which Parquet tells from
+    its footers; without it the children are counted.
+    """
 
     table: str
     children: DataFrame
     parents: DataFrame
+    size: int | None = None
 
 
 def change_deltas(references: Sequence[Reference]) -> DataFrame:
@@ -76,7 +81,7 @@ def orphan_rows(references: Sequence[Reference], hot_share: float = 1 / 256) ->
     facts = ["births", "always", "born", "died"]
     parts = []
     for r in references:
-        least = max(1, int(r.children.filter(F.col("key").isNotNull()).count() * hot_share)) if hot_share else None
+        least = max(1, int((r.children.count() if r.size is None else r.size) * hot_share))
         own = state.filter(F.col("table_name") == r.table).drop("table_name")
         children = r.children.filter(F.col("key").isNotNull()).select("row_id", "key", "at")
         hot = F.broadcast(own.filter(F.col("rows") >= least).select("key", F.struct(*facts).alias("hot")))

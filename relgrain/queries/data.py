@@ -98,11 +98,12 @@ def references(spark: SparkSession, folder: str) -> list[Reference]:
     parent = lambda df: df.select(F.col("id").alias("key"), "at", "gone").filter("key is not null")
     orders, notes = read("cust_orders", "customer_id", True), read("notifications", "customer_id", True)
     customers = parent(read("cust", None, True))
+    stored = lambda name: table(spark, folder, name).count()
     return [
-        Reference("order_products", child(read("order_products", "order_id", False)), parent(orders)),
-        Reference("notification_interactions", child(read("notification_interactions", "notification_id", False)), parent(notes)),
-        Reference("cust_orders", child(orders), customers),
-        Reference("notifications", child(notes), customers),
+        Reference("order_products", child(read("order_products", "order_id", False)), parent(orders), stored("order_products")),
+        Reference("notification_interactions", child(read("notification_interactions", "notification_id", False)), parent(notes), stored("notification_interactions")),
+        Reference("cust_orders", child(orders), customers, stored("cust_orders")),
+        Reference("notifications", child(notes), customers, stored("notifications")),
     ]
 
 
