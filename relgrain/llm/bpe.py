@@ -29,8 +29,16 @@ _find = regex.compile(PIECES).findall
 _find_ascii = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[sdmt]|ll|ve|re)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
 
 
+#: The same for texts of the scripts below only, whose letters, numbers and blanks are these few ranges.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
+_find_near = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[sdmt]|ll|ve|re)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_far = re.compile("[^\x00-\u024f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u20ac]").search
+
+
 def find_pieces(text: str) -> list[str]:
-    return _find_ascii(text) if text.isascii() else _find(text)
+    if text.isascii():
+        return _find_ascii(text)
+    return _find(text) if _far(text) else _find_near(text)
 
 
 def _byte_names() -> dict[str, int]:
@@ -60,12 +68,13 @@ class PrefixEncoder:
         self._border: dict[int, bool] = {}
         self._known: dict[bytes, list[int]] = {}
         self._ids: dict[str, bytes] = _Cache(self._piece, cached)
-        # Lengths, descending, of the tokens that end with given three bytes: all that can end a prefix, but for shorter ones.
+        # Lengths, descending, of the tokens that can end a prefix, by its last four bytes: most are the end of none so long.
         ends: dict[bytes, set[int]] = {}
         for b in self.token_id:
-            if len(b) > 2:
-                ends.setdefault(b[-3:], set()).add(len(b))
-        self._ends = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
+            if len(b) > 3:
+                ends.setdefault(b[-4:], set()).add(len(b))
+        self._three = {b for b in self.token_id if len(b) == 3}
+        self._ends = {k: (*sorted(v, reverse=True), *((3, 2, 1) if k[1:] in self._three else (2, 1))) for k, v in ends.items()}
 
     def border_holds(self, s: int, t: int) -> bool:
         """Whether s followed by t is how their bytes are encoded."""
@@ -96,9 +105,10 @@ class PrefixEncoder:
     def last_tokens(self, text: bytes, known: list[int] | None = None) -> list[int]:
         """For each prefix of a piece, beginning with the shortest, its encoding's last token; ``known`` has the first ones."""
         last = list(known) if known else []
-        ids, border, ends = self.token_id, self._border, self._ends
+        ids, border, ends, three = self.token_id, self._border, self._ends, self._three
         for end in range(len(last) + 1, len(text) + 1):
-            for size in ends.get(text[end - 3 : end] if end > 2 else b"", (2, 1)):
+            sizes = ends.get(text[end - 4 : end]) if end > 3 else None
+            for size in sizes or ((3, 2, 1) if text[end - 3 : end] in three else (2, 1)):
                 if size > end:
                     continue
                 t = ids.get(text[end - size : end])
