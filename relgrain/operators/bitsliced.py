@@ -2,8 +2,8 @@
 
 Counts and totals are kept as bit-sliced counters: for each type, bit k of all entities' numbers is one bitmap over the
 entities' ordinals, and two counters are added by carrying from bitmap to bitmap, for all entities at once. Events
-become such counters in the tasks that read them, only the counters (their bitmaps compressed) are shuffled, and the
-latest times travel as arrays aligned to the ordinals of the entities that have the type.
+become such counters in tasks of equal size, the counters (their bitmaps compressed) are brought together by block, and
+the latest times travel as arrays aligned to the ordinals of the entities that have the type.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
+
 
 
 _NEVER = np.iinfo(np.int64).min
@@ -193,8 +195,10 @@ def entity_features(
     total 0 and no recency. ``recency_s`` is whole seconds from the latest event to the cut.
 
     The number of types is checked against ``max_types``: the axis is held by every task. Entities are put in blocks of
-    about ``per_block`` by a hash of their id, and get their ordinal in the block's sorted ids. An entity with any
-    share of the events costs, per batch of a map task, one position in each bitmap of its types.
+    about ``per_block`` by a hash of their id, and get their ordinal in the block's sorted ids. Events are first put in
+    ranges of blocks, so that a task makes few and dense counters however many blocks there are; ranges are of equal
+    size whatever the blocks, since within a block they go on by a hash of the event. An entity with any share of the
+    events is spread over tasks, and costs each of them one position in each bitmap of its types.
     """
     spark = events.sparkSession
     events = events.filter(F.col("entity").isNotNull() & F.col("type").isNotNull() & (F.col("at") < cut_us))
@@ -205,6 +209,8 @@ def entity_features(
         raise ValueError(f"more than {max_types} event types")
     n_blocks = max(1, -(-entities.count() // per_block))
     block = F.pmod(F.xxhash64("entity"), F.lit(n_blocks)).cast("int").alias("block")
-    parts = events.select(block, "entity", "type", "n", "at", "total").mapInArrow(_partials(batch_rows), _PART)
+    columns = ["entity", "type", "n", "at", "total"]
+    near = events.select(block, *columns, F.xxhash64(*columns).alias("spread")).repartitionByRange(shuffle_partitions(spark), "block", "spread")
+    parts = near.select("block", *columns).mapInArrow(_partials(batch_rows), _PART)
     schema = f"`{entity}` bigint, n_events bigint, n_types bigint, types array<bigint>, counts array<bigint>, recency_s array<bigint>, totals array<bigint>"
     return entities.select("entity", block).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_features(axis, cut_us, entity), schema)
