@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 
-
-
 _NEVER = np.iinfo(np.int64).min
 
 
