@@ -134,8 +134,10 @@ def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> Dat
     limits = length_limits(endings)
     lists = limits.groupBy("source").agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("size"))).alias(f"l_{m}") for m in _MEASURES])  # few a source: each holds a share of what is above
     lists = small(lists.withColumn("__s", F.coalesce("source", F.lit("\0"))).drop("source"))
-    salted = endings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    out = salted.join(words, ["token", "salt"], "left").join(pairs, ["pair", "salt"], "left")
+    # Texts that don't end with a word, which are most, match nothing: they are spread over all tasks.
+    spread = lambda c: F.pmod(F.xxhash64("doc_id"), F.when(F.col(c).isNull(), 1 << 20).otherwise(salts)).cast("int")
+    salted = endings.withColumns({"salt": spread("token"), "pair_salt": spread("pair")})
+    out = salted.join(words, ["token", "salt"], "left").join(pairs.withColumnRenamed("salt", "pair_salt"), ["pair", "pair_salt"], "left")
     out = out.withColumn("__s", F.coalesce("source", F.lit("\0"))).join(lists, "__s", "left")
     at = F.lit(False)
     for m in _MEASURES:
