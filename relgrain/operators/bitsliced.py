@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions
 
 _NEVER = np.iinfo(np.int64).min
+#: Entities times types that a block decodes at once, at five numbers each: 160 MB.
+_CELLS = 4_000_000
 
 
 def bitmap(positions: np.ndarray, size: int) -> int:
@@ -193,7 +195,7 @@ def entity_features(
     total 0 and no recency. ``recency_s`` is whole seconds from the latest event to the cut.
 
     The number of types is checked against ``max_types``: the axis is held by every task. Entities are put in blocks of
-    about ``per_block`` by a hash of their id, and get their ordinal in the block's sorted ids. Events are first put in
+    about ``per_block``, fewer if there are many types, by a hash of their id, and get their ordinal in the block's sorted ids. Events are first put in
     ranges of blocks, so that a task makes few and dense counters however many blocks there are; ranges are of equal
     size whatever the blocks, since within a block they go on by a hash of the event. An entity with any share of the
     events is spread over tasks, and costs each of them one position in each bitmap of its types.
@@ -205,6 +207,7 @@ def entity_features(
     axis = sorted(r[0] for r in known.limit(max_types + 1).collect())
     if len(axis) > max_types:
         raise ValueError(f"more than {max_types} event types")
+    per_block = max(1, min(per_block, _CELLS // max(1, len(axis))))
     n_blocks = max(1, -(-entities.count() // per_block))
     block = F.pmod(F.xxhash64("entity"), F.lit(n_blocks)).cast("int").alias("block")
     columns = ["entity", "type", "n", "at", "total"]
