@@ -7,6 +7,7 @@ import binascii
 import html
 import quopri
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 _HEADER = re.compile(r"\A\s*(?:From |[!-9;-~]+:)")
@@ -21,6 +22,8 @@ _TAG = re.compile(r"<[^<>]*>")
 #: Marks that stand for what was left out. One alone proves nothing: people write and quote them too.
 _MARK = re.compile(r"(?:\s*(?:\.{3}|…|\[[^\[\]\n]{0,40}\]|\([a-z ]{0,40}\)|-{2,3} [^\n]{0,60} -{2,3}))\s*\Z")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words, and as nothing the letters beside digits in numbers, hashes and addresses.
+_VOCABULARY = re.compile(r"(?<=[\d_])[A-Za-z]++|(?<![A-Za-z])[A-Za-z]++(?=[\d_])|([^\W\d_]+)")
 _END = re.compile(r"[.!?。！？…:;]['\")»”\]]*\Z|[)\]]\Z|[^\w\s.,&%$€£/\\'\"<>=+*@#-]\Z")
 _HEADER_LINE = re.compile(r"(?:From|To|Cc|Subject|Date|Reply-To|In-Reply-To|References|Received|Message-ID|MIME-Version|Content-[\w-]+):", re.I)
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
@@ -40,9 +43,15 @@ def _last_word(text: str) -> str | None:
     at = len(text)
     while at and _WORD.match(text[at - 1]):
         at -= 1
+    if at and at < len(text) and (text[at - 1].isdigit() or text[at - 1] == "_") and text[at:].isascii():
+        return None
     return text[at:] or None
 
 
+def _words(text: str) -> list[str]:
+    return [x for x in _VOCABULARY.findall(text) if x]
+
+
 class Ending(NamedTuple):
     structure: str | None  #: what is unfinished: headers, multipart, markup, encoding
     token: str | None  #: the word with which the text stops, unless something follows it
@@ -162,7 +171,7 @@ def ending(text: str) -> Ending | None:
     if half and not structure:
         structure = "encoding"
     markup = readable.lower()
-    if not structure and (("<html" in markup and "</html" not in markup) or re.search(r"<[a-zA-Z/][^<>]*\Z", readable.rstrip())):
+    if not structure and (("<html" in markup and "</html" not in markup) or re.search(r"<[a-zA-Z/!][^<>]*\Z", readable.rstrip())):
         structure = "markup"
     whole = not structure and markup.rstrip().endswith("</html>")
     if not kind.startswith("text/"):
@@ -173,14 +182,52 @@ def ending(text: str) -> Ending | None:
     if _END.search(bare[-_TAIL:]) and bare != plain:
         return Ending(structure, None, None, False, False, whole, *sizes)
     token = _last_word(bare)
-    near = _WORD.findall(bare[-_TAIL:]) if token else []
+    near = _words(bare[-_TAIL:]) if token else []
     pair = f"{near[-2]} {token}" if len(near) > 1 and near[-1] == token else None
     alone = bool(token) and token[0].islower() and len(bare[-_TAIL:].split()[-1]) - len(token) <= 2
     return Ending(structure, token, pair, alone, stopped_in_sentence(bare), whole, *sizes)
 
 
-def words(text: str) -> list[str]:
-    """Words of a message's text for the vocabulary, without its last one. Lines of base64 aren't words."""
-    lines = [x for x in text.split("\n") if not (len(x) > 40 and _BASE64_LINE.match(x.strip()))]
-    found = _WORD.findall("\n".join(lines))
-    return found[:-1]
+def _leaves(head: str, body: str, deep: int = 8) -> Iterator[tuple[str, str, bool]]:
+    """Headers and body of every part that is no multipart itself, and whether the message may stop within it."""
+    m = _BOUNDARY.search(_FOLD.sub(" ", head)) if deep else None
+    if not m:
+        yield head, body, True
+        return
+    lines = list(re.finditer(rf"(?m)^--{re.escape(m.group(1))}(--)?[ \t]*\r?(?:\n|\Z)", body))
+    closed = any(x.group(1) for x in lines)
+    yield "", body[: lines[0].start()] if lines else body, not lines
+    for line, end in zip(lines, [*(x.start() for x in lines[1:]), len(body)]):
+        part, last = body[line.end() : end], not closed and end == len(body)
+        cut = None if line.group(1) or part.startswith(("\n", "\r\n")) else _HEAD_END.search(part)
+        if cut:
+            for h, b, stops in _leaves(part[: cut.start()], part[cut.end() :], deep - 1):
+                yield h, b, stops and last
+        elif line.group(1) or part.startswith(("\n", "\r\n")):
+            yield "", part, last
+
+
+def words(text: str) -> list[list[str]]:
+    """Words for the vocabulary, a list for each readable part, as ``ending`` reads it: decoded, without tags and
+    without a mark. The word with which the message may stop is left out. Headers and lines of base64 aren't words.
+    """
+    cut = _HEAD_END.search(text)
+    own = bool(_HEADER.match(text))
+    if own and not cut:
+        return []
+    out = []
+    for head, body, stops in _leaves(text[: cut.start()], text[cut.end() :]) if own else [("", text, True)]:
+        flat = _FOLD.sub(" ", head)
+        kind, encoding = _TYPE.search(flat), _ENCODING.search(flat)
+        kind, encoding = (kind.group(1).lower() if kind else "text/plain"), (encoding.group(1).lower() if encoding else None)
+        if not kind.startswith("text/"):
+            continue
+        unmarked = _unmarked(body.rstrip()) if stops else body
+        marked = stops and unmarked != body.rstrip()
+        readable, _ = _decode(unmarked if marked and encoding else body, encoding)
+        plain = html.unescape(_TAG.sub(" ", readable)) if "</" in readable or kind == "text/html" else readable
+        plain = _unmarked(plain.rstrip()) if marked else plain
+        lines = [x for x in plain.split("\n") if not (len(x) > 40 and _BASE64_LINE.match(x.strip()))]
+        found = _words("\n".join(lines))
+        out.append(found[:-1] if stops else found)
+    return out

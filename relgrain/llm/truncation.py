@@ -39,9 +39,9 @@ def _scan(longest_word: int, held: int = 300_000):
                 if end is None:
                     rows.append((doc_id, source, None, None, None, False, False, False, *[None] * len(_MEASURES)))
                     continue
-                found = words(text)
-                counts.update(found)
-                pairs.update(zip(found, found[1:]))
+                for found in words(text):
+                    counts.update(found)
+                    pairs.update(zip(found, found[1:]))
                 rows.append((doc_id, source, end.structure, end.token, end.pair, end.bare, end.prose, end.whole, len(text), len(text.encode("utf-8", "replace")), end.body_chars, end.body_bytes, text.count("\n") + 1))
             if rows:
                 none = pa.nulls(len(rows))
@@ -58,7 +58,7 @@ def scan_endings(documents: DataFrame, longest_word: int = 64) -> tuple[DataFram
     """One pass over the whole texts: a row per document on how it ends, and the words and pairs of words of all texts
     with counts.
 
-    The words with which texts stop are not counted. Runs of more than ``longest_word`` letters aren't words. What the
+    Words are those of the decoded texts. The words with which texts stop are not counted. Runs of more than ``longest_word`` letters aren't words. What the
     pass gives is small beside the texts and is written as a checkpoint.
     """
     rows = checkpoint(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(longest_word), _SCAN))
@@ -67,29 +67,35 @@ def scan_endings(documents: DataFrame, longest_word: int = 64) -> tuple[DataFram
 
 
 def trie_nodes(vocabulary: DataFrame, known_from: int = 3) -> DataFrame:
-    """The trie of the words and pairs seen at least ``known_from`` times, a row per node: ``prefix, n, below``.
+    """The trie of the words and pairs seen at least ``known_from`` times, a row per node: ``prefix, n, below, below_n``.
 
     ``n`` is how often the node itself was seen, null if it is none of them; ``below`` counts those that go on from
-    it. A pair's nodes begin within its second word. Nodes are made where the words are and combined before the
-    shuffle.
+    it and ``below_n`` how often they were seen. Rarer words and pairs are only their own node, for their ``n``. A
+    pair's nodes begin within its second word. Nodes are made where the words are and combined before the shuffle.
     """
     first = F.instr("word", " ")
-    known = vocabulary.filter(F.col("n") >= known_from).select("word", "n", F.explode(F.sequence(first + 1, F.length("word"))).alias("size"))
+    shortest = F.when(F.col("n") >= known_from, first + 1).otherwise(F.length("word"))
+    known = vocabulary.select("word", "n", F.explode(F.sequence(shortest, F.length("word"))).alias("size"))
     whole = F.col("size") == F.length("word")
     nodes = known.select(F.substring("word", F.lit(1), F.col("size")).alias("prefix"), whole.alias("whole"), "n")
-    return nodes.groupBy("prefix").agg(F.max(F.when(F.col("whole"), F.col("n"))).alias("n"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("below"))
+    below = lambda c: F.sum(F.when(F.col("whole"), 0).otherwise(c))
+    return nodes.groupBy("prefix").agg(F.max(F.when(F.col("whole"), F.col("n"))).alias("n"), below(F.lit(1)).alias("below"), below(F.col("n")).alias("below_n"))
 
 
-def cut_ends(endings: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02) -> DataFrame:
+def cut_ends(endings: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02, pieces_at_most: float = 0.005) -> DataFrame:
     """Last words and pairs, each once, that tell a cut: ``last, unknown_prefix, goes_on``.
 
-    ``unknown_prefix``: the trie doesn't know it but knows something that it is a proper prefix of. ``goes_on``: a
-    pair that is seen ``goes_on_from`` times within texts and next to never at their end.
+    ``unknown_prefix``: the trie knows something that it is a proper prefix of, and it was itself seen no more often
+    than pieces of that are: texts quote others that were cut, so pieces come up the more the larger the corpus, at
+    most ``pieces_at_most`` of the times that what goes on from them does, give or take twice the root of that number.
+    ``goes_on``: a pair that is seen ``goes_on_from`` times within texts and next to never at their end.
     """
     lasts = endings.select(F.explode(F.array("token", "pair")).alias("last")).filter("last is not null").groupBy("last").agg(F.count("*").alias("ends"))
     seen = lasts.join(nodes, F.col("last") == F.col("prefix"))
     goes_on = F.contains("last", F.lit(" ")) & (F.col("n") >= goes_on_from) & (F.col("ends") <= F.greatest(F.lit(1.0), ends_at_most * F.col("n")))
-    out = seen.select("last", (F.col("n").isNull() & (F.col("below") > 0)).alias("unknown_prefix"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
+    pieces = pieces_at_most * F.col("below_n")
+    unknown = (F.col("below") > 0) & (F.coalesce("n", F.lit(0)) < pieces + 2 * F.sqrt(pieces))
+    out = seen.select("last", unknown.alias("unknown_prefix"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
     return out.filter("unknown_prefix or goes_on")
 
 
@@ -116,15 +122,15 @@ def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> Dat
 
     ``doc_id, source, structure, unknown_prefix, at_limit, prose, truncated``. A text is taken as cut if
 
-    * its last word, alone or after the word before it, is unknown to the trie of the corpus's words and pairs but a
-      proper prefix of some, or
+    * its last word, alone or after the word before it, is a proper prefix of some of the corpus's words and pairs and
+      itself unknown or next to never seen beside them, or
     * its size is one at which its source cuts, and it doesn't end with what closes a multipart or markup, or
     * its own structure is unfinished (headers, multipart, markup or a transfer encoding), or
     * it stops within a sentence of running text (``prose``), seen by its last paragraph or by a last pair of words
       that elsewhere goes on.
 
-    Null, empty and blank texts are not cut. Words and pairs are known if seen ``known_from`` times other than as the
-    last of a text. Last words are looked up once each; those that tell a cut are joined back with ``salts`` copies
+    Null, empty and blank texts are not cut. Words and pairs are known, as what pieces are compared with, if seen
+    ``known_from`` times other than as the last of a text. Last words are looked up once each; those that tell a cut are joined back with ``salts`` copies
     each, so that a word with which many texts end is spread.
     """
     endings, vocabulary = scan_endings(documents)

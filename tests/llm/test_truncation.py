@@ -7,8 +7,8 @@ import time
 
 import pytest
 
-from relgrain.llm.messages import ending, stopped_in_sentence
-from relgrain.llm.truncation import length_limits, scan_endings, trie_nodes, truncated, truncation_by_source
+from relgrain.llm.messages import ending, stopped_in_sentence, words
+from relgrain.llm.truncation import cut_ends, length_limits, scan_endings, trie_nodes, truncated, truncation_by_source
 
 HEAD = "From: Ann <ann@example.org>\nTo: bob@example.org\nSubject: Rota\nMIME-Version: 1.0\n"
 PLAIN = HEAD + "Content-Type: text/plain; charset=utf-8\n\n"
@@ -84,6 +84,27 @@ def test_trie(spark):
     assert nodes["dep"] == (None, 2) and nodes["depot"] == (9, 1) and nodes["depots"] == (3, 0) and nodes["the de"] == (None, 1) and "the" not in nodes and "dea" not in nodes
 
 
+def test_words_are_those_of_the_decoded_text():
+    quoted = HEAD + "Content-Type: text/plain\nContent-Transfer-Encoding: quoted-printable\n\nDas Gew=C3=A4chshaus am n=C3=B6rdli=\nchen Tor ist zu.\n"
+    assert words(quoted) == [["Das", "Gewächshaus", "am", "nördlichen", "Tor", "ist"]]
+    assert words(B64)[0][:4] == ["The", "driver", "left", "the"] and len(words(B64)[0]) == 3 * 15 - 1
+    for mark in ("\n[message clipped]", " (truncated)", "...", "\n--- remainder omitted by gateway ---"):
+        assert words(PLAIN + "The driver left the nor" + mark) == [["The", "driver", "left", "the"]]
+    both = HEAD + 'Content-Type: multipart/mixed; boundary="xyz"\n\n--xyz\nContent-Type: text/plain\n\nThe driver\n--xyz\nContent-Type: image/png\n\nQUJD\n--xyz\n\nleft the nor'
+    assert words(both) == [[], ["The", "driver"], ["left", "the"]] and words(both + "thern depot\n--xyz--\n")[2] == ["left", "the", "northern", "depot"]
+    assert words(HEAD) == [] and words(PLAIN + "see /t/a72f6b or R07054 there") == [["see", "t", "or"]]
+
+
+def test_cut_within_a_declaration():
+    assert ending(HEAD + "Content-Type: text/html\n\n<!DOCTYPE htm").structure == "markup"
+
+
+def test_pieces_are_rarer_than_their_words_and_words_are_not(spark):
+    vocabulary = spark.createDataFrame([("nor", 40), ("northern", 20_000), ("the nor", 4), ("the northern", 8_000), ("depot", 2), ("depots", 3), ("in", 900), ("invoice", 9_000)], "word string, n long")
+    ends = spark.createDataFrame([("nor", "the nor"), ("depot", None), ("in", None)], "token string, pair string")
+    assert sorted(r["last"] for r in cut_ends(ends, trie_nodes(vocabulary)).collect() if r["unknown_prefix"]) == ["nor", "the nor"]
+
+
 def test_by_source_and_empty_table(found):
     df, rows, got = found
     by = {r["source"]: r for r in truncation_by_source(df).collect()}
