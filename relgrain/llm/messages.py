@@ -27,6 +27,8 @@ _VOCABULARY = re.compile(r"(?<=[\d_])[A-Za-z]++|(?<![A-Za-z])[A-Za-z]++(?=[\d_])
 _END = re.compile(r"[.!?。！？…:;]['\")»”\]]*\Z|[)\]]\Z|[^\w\s.,&%$€£/\\'\"<>=+*@#-]\Z")
 _HEADER_LINE = re.compile(r"(?:From|To|Cc|Subject|Date|Reply-To|In-Reply-To|References|Received|Message-ID|MIME-Version|Content-[\w-]+):", re.I)
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
+_ITEM = re.compile(r"[-*•] ")
+_LABELLED = re.compile(r"[^\W\d_a-z][^\W\d_]*[.:]? [+(\d][\d ()/.-]*\Z")
 _STOP = re.compile(r"[.!?。！？]['\")»”]*(?=\s|\Z)")
 
 
@@ -108,7 +110,8 @@ def stopped_in_sentence(text: str) -> bool:
     """Whether running text stops before its sentence does.
 
     Short messages, lists, tables, signatures, commands and addresses rightly end without a full stop. Running text is
-    told by what comes before in its last paragraph: a finished sentence, or enough words after a capital letter.
+    told by what comes before in its last paragraph: a finished sentence, or enough words after a capital letter. Lines
+    that many texts end with are told by the corpus (``cut_ends``).
     """
     text = _QUOTE.sub("", text.replace("\r\n", "\n")).rstrip()
     if not text or _END.search(text[-_TAIL:]):
@@ -116,8 +119,14 @@ def stopped_in_sentence(text: str) -> bool:
     paragraph = re.split(r"\n\s*\n", text)[-1]
     lines = paragraph.split("\n")
     last = lines[-1].strip()
-    if re.match(r"[-*•] |_{5,}|https?://|To leave |Sent from |Get |Tel\. |[\w=]+=\S|>>>|ERROR|x = ", last) or re.search(r" {3,}\S", last):
+    if re.match(r"_{5,}|https?://", last) or re.search(r" {3,}\S", last):
         return False
+    if _ITEM.match(last):
+        # Items end without a full stop, unless this one holds a sentence or those before it end with one.
+        before = [x.strip() for x in lines[:-1] if _ITEM.match(x.strip())]
+        return bool(_STOP.search(last[2:])) or bool(before) and all(_STOP.search(x[-_TAIL:]) and _END.search(x[-_TAIL:]) for x in before)
+    if any(x.rstrip() == "--" for x in lines) or _LABELLED.match(last):
+        return False  # a signature, or a labelled number
     if "://" in last.split()[-1] or _HEADER_LINE.match(last):
         return False
     # What follows a line that announces a quotation stands for itself.

@@ -82,21 +82,24 @@ def trie_nodes(vocabulary: DataFrame, known_from: int = 3) -> DataFrame:
     return nodes.groupBy("prefix").agg(F.max(F.when(F.col("whole"), F.col("n"))).alias("n"), below(F.lit(1)).alias("below"), below(F.col("n")).alias("below_n"))
 
 
-def cut_ends(endings: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02, pieces_at_most: float = 0.005) -> DataFrame:
-    """Last words and pairs, each once, that tell a cut: ``last, unknown_prefix, goes_on``.
+def cut_ends(endings: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02, pieces_at_most: float = 0.005, closes_from: int = 10, closes_at_least: float = 0.1) -> DataFrame:
+    """Last words and pairs, each once, that tell a cut or its absence: ``last, unknown_prefix, goes_on, closes``.
 
     ``unknown_prefix``: the trie knows something that it is a proper prefix of, and it was itself seen no more often
     than pieces of that are: texts quote others that were cut, so pieces come up the more the larger the corpus, at
     most ``pieces_at_most`` of the times that what goes on from them does, give or take twice the root of that number.
-    ``goes_on``: a pair that is seen ``goes_on_from`` times within texts and next to never at their end.
+    ``goes_on``: a pair that is seen ``goes_on_from`` times within texts and next to never at their end. ``closes``: a pair that ``closes_from`` texts end with, ``closes_at_least`` of the
+    times that it is seen within texts, as with the last line of a footer.
     """
     lasts = endings.select(F.explode(F.array("token", "pair")).alias("last")).filter("last is not null").groupBy("last").agg(F.count("*").alias("ends"))
-    seen = lasts.join(nodes, F.col("last") == F.col("prefix"))
+    seen = lasts.join(nodes, F.col("last") == F.col("prefix"), "left")
     goes_on = F.contains("last", F.lit(" ")) & (F.col("n") >= goes_on_from) & (F.col("ends") <= F.greatest(F.lit(1.0), ends_at_most * F.col("n")))
     pieces = pieces_at_most * F.col("below_n")
     unknown = (F.col("below") > 0) & (F.coalesce("n", F.lit(0)) < pieces + 2 * F.sqrt(pieces))
-    out = seen.select("last", unknown.alias("unknown_prefix"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
-    return out.filter("unknown_prefix or goes_on")
+    unknown = F.coalesce(unknown, F.lit(False))
+    closes = F.contains("last", F.lit(" ")) & ~unknown & (F.col("ends") >= closes_from) & (F.col("ends") >= closes_at_least * F.coalesce("n", F.lit(0)))
+    out = seen.select("last", unknown.alias("unknown_prefix"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"), closes.alias("closes"))
+    return out.filter("unknown_prefix or goes_on or closes")
 
 
 def length_limits(endings: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
@@ -126,8 +129,8 @@ def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> Dat
       itself unknown or next to never seen beside them, or
     * its size is one at which its source cuts, and it doesn't end with what closes a multipart or markup, or
     * its own structure is unfinished (headers, multipart, markup or a transfer encoding), or
-    * it stops within a sentence of running text (``prose``), seen by its last paragraph or by a last pair of words
-      that elsewhere goes on.
+    * it stops within a sentence of running text (``prose``), seen by its last paragraph, unless many texts
+      end with its last pair of words, or by a last pair that elsewhere goes on.
 
     Null, empty and blank texts are not cut. Words and pairs are known, as what pieces are compared with, if seen
     ``known_from`` times other than as the last of a text. Last words are looked up once each; those that tell a cut are joined back with ``salts`` copies
@@ -136,7 +139,7 @@ def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> Dat
     endings, vocabulary = scan_endings(documents)
     cut = cut_ends(endings, trie_nodes(vocabulary, known_from)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     words = cut.filter("unknown_prefix").select(F.col("last").alias("token"), "salt", F.lit(True).alias("cut_word"))
-    pairs = cut.filter(F.contains("last", F.lit(" "))).select(F.col("last").alias("pair"), "salt", F.col("unknown_prefix").alias("cut_pair"), "goes_on")
+    pairs = cut.filter(F.contains("last", F.lit(" "))).select(F.col("last").alias("pair"), "salt", F.col("unknown_prefix").alias("cut_pair"), "goes_on", "closes")
     limits = length_limits(endings)
     lists = limits.groupBy("source").agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("size"))).alias(f"l_{m}") for m in _MEASURES])  # few a source: each holds a share of what is above
     lists = small(lists.withColumn("__s", F.coalesce("source", F.lit("\0"))).drop("source"))
@@ -150,7 +153,7 @@ def truncated(documents: DataFrame, known_from: int = 3, salts: int = 16) -> Dat
         at = at | F.coalesce(F.array_contains(f"l_{m}", F.col(m)), F.lit(False))
     at = at & ~F.col("whole")
     unknown = F.coalesce("cut_word", F.lit(False)) | F.coalesce("cut_pair", F.lit(False))
-    prose = F.col("prose") | (F.col("bare") & F.coalesce("goes_on", F.lit(False)))
+    prose = (F.col("prose") & ~F.coalesce("closes", F.lit(False))) | (F.col("bare") & F.coalesce("goes_on", F.lit(False)))
     verdict = unknown | at | F.col("structure").isNotNull() | prose
     return out.select("doc_id", "source", "structure", unknown.alias("unknown_prefix"), at.alias("at_limit"), prose.alias("prose"), F.coalesce(verdict, F.lit(False)).alias("truncated"))
 

@@ -105,6 +105,26 @@ def test_pieces_are_rarer_than_their_words_and_words_are_not(spark):
     assert sorted(r["last"] for r in cut_ends(ends, trie_nodes(vocabulary)).collect() if r["unknown_prefix"]) == ["nor", "the nor"]
 
 
+@pytest.mark.parametrize(
+    "end",
+    [
+        "Get back to me when the northern warehouse has counted the", "To leave the depot early you need the second", "ERROR reports from the northern warehouse go to the",
+        "- We counted the crates. Nobody from the northern", "- We counted the crates.\n- Nobody from the northern",
+    ],
+)
+def test_no_beginning_of_a_line_hides_a_cut(end):
+    assert stopped_in_sentence(SENTENCE + "\n\n" + end)
+
+
+def test_footers_are_learned(spark):
+    footer = "\n\nGet the new courier box for nothing today"
+    rows = [(i, "a", PLAIN + SENTENCE + footer) for i in range(20)] + [(20, "a", PLAIN + SENTENCE + "\n\nGet back to me when the depot has the")]
+    got = truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).filter("prose").collect()
+    assert [r["doc_id"] for r in got] == [20]
+    for end in ("-- \nAnn Miller\nStores, Quayside\nTel. +44 1632 960143", "Tel. 01632 960013", "- damaged crate\n- loading schedule of the northern depot"):
+        assert not stopped_in_sentence(SENTENCE + "\n\n" + end)
+
+
 def test_by_source_and_empty_table(found):
     df, rows, got = found
     by = {r["source"]: r for r in truncation_by_source(df).collect()}
