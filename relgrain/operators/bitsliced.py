@@ -184,7 +184,7 @@ def _features(axis: list[int], cut_us: int, entity: str):
 
 
 def entity_features(
-    events: DataFrame, entities: DataFrame, types: DataFrame, entity: str, cut_us: int, per_block: int = 2048, max_types: int = 20_000, batch_rows: int = 200_000
+    events: DataFrame, entities: DataFrame, types: DataFrame, entity: str, cut_us: int, per_block: int = 2048, max_types: int = 20_000, batch_rows: int = 200_000, undated: bool = False
 ) -> DataFrame:
     """One row per entity: ``n_events, n_types`` and, aligned to ``types``, the arrays ``counts, recency_s, totals``.
 
@@ -192,7 +192,8 @@ def entity_features(
     They may be combined already, n being how many events a row stands for. Events at or after the cut, or without
     time, entity or type, are not features and are left out. ``entities`` and ``types`` have the ids that get a row and
     a place on the axis; events of a type that ``types`` lacks are an error. A type that an entity never had has count 0,
-    total 0 and no recency. ``recency_s`` is whole seconds from the latest event to the cut.
+    total 0 and no recency. ``recency_s`` is whole seconds from the latest event to the cut. With ``undated`` events without
+    time are features too: they count and add their total, and give no recency.
 
     The number of types is checked against ``max_types``: the axis is held by every task. Entities are put in blocks of
     about ``per_block``, fewer if there are many types, by a hash of their id, and get their ordinal in the block's sorted ids. Events are first put in
@@ -201,6 +202,8 @@ def entity_features(
     events is spread over tasks, and costs each of them one position in each bitmap of its types.
     """
     spark = events.sparkSession
+    if undated:
+        events = events.withColumn("at", F.coalesce("at", F.lit(int(_NEVER))))
     events = events.filter(F.col("entity").isNotNull() & F.col("type").isNotNull() & (F.col("at") < cut_us))
     entities = entities.select(F.col(entity).cast("bigint").alias("entity")).filter("entity is not null").distinct()
     known = types.select(F.col(types.columns[0]).cast("bigint").alias("type")).filter("type is not null").distinct()

@@ -17,6 +17,8 @@ from ..sources.records import records, table
 
 CUT = dt.datetime(2024, 4, 1, tzinfo=dt.UTC)
 CUT_US = int(CUT.timestamp()) * 1_000_000
+#: The end of the tables' span.
+END_US = int(dt.datetime(2024, 7, 1, tzinfo=dt.UTC).timestamp()) * 1_000_000
 
 
 def systems(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,16 +61,17 @@ def p2_per_customer(spark: SparkSession, folder: str) -> DataFrame:
 # --- p3 ---------------------------------------------------------------------------------------------------------------
 
 
-def interaction_events(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def interaction_events(spark: SparkSession, folder: str, cut_us: int = CUT_US, undated: bool = False) -> tuple[DataFrame, DataFrame]:
     """Events per notification and type, with the customer; and the customers that notifications name.
 
     The total of an event is the whole minutes from its time to its arrival, none where it arrived before.
     Events of one notification and type are combined before the join, so a notification with any share of the
-    interactions is a row per type.
+    interactions is a row per type. With ``undated`` interactions without time are events too, of no total.
     """
-    deeds = table(spark, folder, "notification_interactions").filter("notification_id is not null and interaction_type_id is not null and ts is not null")
+    deeds = table(spark, folder, "notification_interactions").filter("notification_id is not null and interaction_type_id is not null")
+    deeds = deeds if undated else deeds.filter("ts is not null")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    deeds = records(deeds, {"nid": "notification_id", "type": "interaction_type_id", "at": us("ts")}).filter(F.col("at") < CUT_US)
+    deeds = records(deeds, {"nid": "notification_id", "type": "interaction_type_id", "at": us("ts")}).filter(F.col("at").isNull() | (F.col("at") < cut_us))
     late = F.greatest(F.lit(0), F.coalesce(F.expr("unix_micros(cast(loaded_at as timestamp)) - at"), F.lit(0)))
     deeds = deeds.groupBy("nid", "type").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.sum(F.floor(late / 60_000_000)).cast("bigint").alias("total"))
     notes = records(table(spark, folder, "notifications").filter("id is not null and customer_id is not null"), {"customer_id": "customer_id"}, loaded=None)
@@ -76,11 +79,20 @@ def interaction_events(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return joined, table(spark, folder, "notifications").select("customer_id")
 
 
-def p3_features(spark: SparkSession, folder: str) -> DataFrame:
-    events, customers = interaction_events(spark, folder)
+def _entity_features(spark: SparkSession, folder: str, cut_us: int, undated: bool) -> DataFrame:
+    events, customers = interaction_events(spark, folder, cut_us, undated)
     used = table(spark, folder, "notification_interactions").select("interaction_type_id")
     types = table(spark, folder, "notification_interaction_types").select("id").union(used)
-    return entity_features(events, customers, types, "customer_id", CUT_US)
+    return entity_features(events, customers, types, "customer_id", cut_us, undated=undated)
+
+
+def p3_features(spark: SparkSession, folder: str) -> DataFrame:
+    return _entity_features(spark, folder, CUT_US, undated=False)
+
+
+def p3_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p3_features``, with the interactions without time and those up to the end of the tables' span."""
+    return _entity_features(spark, folder, END_US, undated=True)
 
 
 # --- p4 ---------------------------------------------------------------------------------------------------------------
@@ -143,7 +155,7 @@ def p5_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return normalized(spark, folder).groupBy("table_name", "source_system", told.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_rolling, p2_found, p2_per_customer, p3_features, p4_found, p4_by_month, p4_current, p5_found, p5_outcomes)}
+QUERIES = {f.__name__: f for f in (p1_rolling, p2_found, p2_per_customer, p3_features, p3_whole, p4_found, p4_by_month, p4_current, p5_found, p5_outcomes)}
 
 _REFS = """
   WITH c AS (

@@ -133,6 +133,14 @@ def test_entity_features(spark):
         b.entity_features(df, who, types, "customer_id", 1, max_types=2)
 
 
+def test_entity_features_without_time(spark):
+    df = spark.createDataFrame([(1, 10, 2, None, 7), (1, 10, 1, 4_000_000, 3), (1, 20, 5, None, 0), (1, 20, 1, 9_000_000, 1)], "entity long, type long, n long, at long, total long")
+    who, types = spark.createDataFrame([(1,), (2,)], "customer_id long"), spark.createDataFrame([(10,), (20,)], "id long")
+    got = {x["customer_id"]: x for x in b.entity_features(df, who, types, "customer_id", 9_000_000, undated=True).collect()}
+    assert (got[1]["counts"], got[1]["recency_s"], got[1]["totals"], got[1]["n_events"], got[1]["n_types"]) == ([3, 5], [5, None], [10, 0], 8, 2)
+    assert got[2]["counts"] == [0, 0] and got[2]["recency_s"] == [None, None]
+
+
 # --- orphan references ----------------------------------------------------------------------------------------------------
 
 T0 = datetime(2024, 1, 1)
