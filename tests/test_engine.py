@@ -1,6 +1,7 @@
 """The feature engine: specs, plans, results by hand, leakage, plans' shapes, sources, stores, streams and the command line."""
 
 import json
+import os
 import random
 import warnings
 from dataclasses import replace
@@ -281,3 +282,22 @@ def test_command_line(spark, frames, tmp_path, capsys):
     cli.main([*args, "--output", str(tmp_path / "out")])
     got = by_id(spark.read.parquet(str(tmp_path / "out")))
     assert got[1]["o_amount_sum"] == 22 and got[3]["o_id_label"] == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test data are not here")
+def test_approximate_aggregates_are_near_exact_ones(spark):
+    from relgrain.queries import features
+
+    got = {r["c_custkey"]: r for r in features.QUERIES["approx_values"](spark, "/root/testdata/sf0.001").collect()}
+    own = features.run(
+        spark, (features.customer("/root/testdata/sf0.001"), features.orders("/root/testdata/sf0.001", columns=("orderkey", "custkey", "totalprice", "orderpriority", "orderdate"), reduce=(Op("agg", "sort_array(collect_list(o_totalprice)) as o_prices"), Op("agg", "count(distinct o_orderpriority) as o_kinds"),))), (features.CO,),
+    ).collect()
+    assert len(got) == len(own) and any(r["o_prices"] for r in own)
+    for r in own:
+        x, prices = got[r["c_custkey"]], [float(p) for p in r["o_prices"] or []]
+        if not prices:
+            assert x["o_totalprice_median"] is None
+            continue
+        # percentile_approx gives one of the values, here the lower middle one; distinct counts are within 15 % (three standard errors).
+        assert x["o_totalprice_median"] == pytest.approx(prices[(len(prices) - 1) // 2])
+        assert abs(x["o_orderpriority_nunique"] - r["o_kinds"]) <= 0.15 * r["o_kinds"]
