@@ -98,33 +98,34 @@ def p3_whole(spark: SparkSession, folder: str) -> DataFrame:
 # --- p4 ---------------------------------------------------------------------------------------------------------------
 
 
-def references(spark: SparkSession, folder: str) -> list[Reference]:
-    """The four references; the earliest-loaded copy of an id stands for it."""
-
-    def read(name: str, key: str | None, deleted: bool) -> DataFrame:
-        columns = ({"key": key} if key else {}) | ({"gone": "deleted_at"} if deleted else {})
-        out = records(table(spark, folder, name), columns)
-        return out.withColumnRenamed("loaded_at", "at").withColumn("gone", F.col("gone") if deleted else F.lit(None).cast("timestamp_ntz"))
-
-    child = lambda df: df.select(F.col("id").alias("row_id"), "key", "at", "gone")
-    parent = lambda df: df.select(F.col("id").alias("key"), "at", "gone").filter("key is not null")
-    orders, notes = read("cust_orders", "customer_id", True), read("notifications", "customer_id", True)
-    customers = parent(read("cust", None, True))
-    stored = lambda name: table(spark, folder, name).count()
-    return [
-        Reference("order_products", child(read("order_products", "order_id", False)), parent(orders), stored("order_products")),
-        Reference("notification_interactions", child(read("notification_interactions", "notification_id", False)), parent(notes), stored("notification_interactions")),
-        Reference("cust_orders", child(orders), customers, stored("cust_orders")),
-        Reference("notifications", child(notes), customers, stored("notifications")),
-    ]
+def references(spark: SparkSession, folder: str, copies: bool = False) -> list[Reference]:
+    """The four references; the earliest-loaded copy of an id stands for it. With ``copies`` child records are as they
+    are stored, which spares a shuffle of them all where only few are looked for."""
+    children = (("order_products", "order_id", False), ("notification_interactions", "notification_id", False), ("cust_orders", "customer_id", True), ("notifications", "customer_id", True))
+
+    def child(name: str, key: str, deleted: bool) -> DataFrame:
+        stored = table(spark, folder, name)
+        gone = F.col("deleted_at") if deleted else F.lit(None).cast("timestamp_ntz")
+        if copies:
+            return stored.select(F.col("id").alias("row_id"), F.col(key).alias("key"), F.col("loaded_at").alias("at"), gone.alias("gone"))
+        once = records(stored, {"key": key} | ({"gone": "deleted_at"} if deleted else {}))
+        return once.select(F.col("id").alias("row_id"), "key", F.col("loaded_at").alias("at"), ("gone" if deleted else gone.alias("gone")))
+
+    def parent(name: str) -> DataFrame:
+        # By the id alone, so that what is counted per key afterwards needs no other shuffle.
+        stored = table(spark, folder, name).filter("id is not null").groupBy(F.col("id").alias("key"))
+        return stored.agg(F.min("loaded_at").alias("at"), F.max("deleted_at").alias("gone"))
+
+    orders, notes, customers = parent("cust_orders"), parent("notifications"), parent("cust")
+    return [Reference(c[0], child(*c), p, table(spark, folder, c[0]).count(), copies) for c, p in zip(children, (orders, notes, customers, customers))]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_rows(references(spark, folder)).select("table_name", "row_id", "kind")
+    return orphan_rows(references(spark, folder, copies=True)).select("table_name", "row_id", "kind")
 
 
 def p4_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    rows = orphan_rows(references(spark, folder))
+    rows = orphan_rows(references(spark, folder, copies=True))
     return rows.groupBy("table_name", F.date_format("at", "yyyy-MM").alias("month"), "kind").agg(F.count("*").alias("n"))
 
 

@@ -12,8 +12,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from relgrain.operators import bitsliced as b
-from relgrain.operators.orphans import Reference, current_orphans, orphan_rows
+from relgrain.operators.orphans import Reference, apply_deltas, current_orphans, orphan_rows, orphans_of_state
 from relgrain.operators.rolling import rolling_totals
+from relgrain.operators.sieve import sieve, sifted
 from relgrain.operators.skew import chunk_states, heavy_keys, per_key_results
 from relgrain.sources.records import records
 
@@ -51,6 +52,27 @@ def test_rolling(spark):
     assert rolling_totals(df.limit(0), "customer", "d", "amount").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "decimal(38,18)", "double", "decimal(5,5)"])
+def test_rolling_keeps_fractions(spark, kind):
+    rows = [(1, 0, "0.4"), (1, 0, "0.4"), (1, 0, "0.4"), (1, 8, "-0.25"), (1, 8, None), (2, 3, None)]
+    df = spark.createDataFrame(rows, "e int, d int, v string").withColumn("v", F.col("v").cast(kind))
+    got = {(x["e"], (x["day"] - date(1970, 1, 1)).days): x for x in rolling_totals(df, "e", "d", "v", (7, 30)).collect()}
+    assert len(got) == 10 and float(got[1, 0]["sum_7d"]) == pytest.approx(1.2) and got[1, 0]["avg_7d"] == pytest.approx(0.4)
+    assert got[1, 7]["sum_7d"] is None and float(got[1, 8]["sum_7d"]) == -0.25 and got[1, 8]["n_7d"] == 2
+    assert float(got[1, 8]["sum_30d"]) == pytest.approx(0.95) and got[1, 8]["avg_30d"] == pytest.approx(0.2375) and got[2, 3]["sum_7d"] is None
+    if kind.startswith("decimal"):
+        assert got[1, 8]["sum_30d"] == Decimal("0.95")
+
+
+def test_rolling_refuses_what_has_no_sum_and_calendars_without_end(spark):
+    with pytest.raises(TypeError, match="v is string"):
+        rolling_totals(spark.createDataFrame([(1, 1, "1")], "e int, d int, v string"), "e", "d", "v")
+    stray = spark.createDataFrame([("ann", -719000, 1), ("ann", 19000, 1), ("bob", 1, 1)], "e string, d int, v int")
+    with pytest.raises(Exception, match="entity ann has 738001 days"):
+        rolling_totals(stray, "e", "d", "v").collect()
+    assert rolling_totals(stray, "e", "d", "v", max_days=800_000).count() == 738_002
+
+
 # --- exact chunking -----------------------------------------------------------------------------------------------------
 
 
@@ -87,6 +109,47 @@ def test_chunks_are_equal_and_cut_any_key(spark):
     assert per_key_results(df.limit(0), ["k"], "o").count() == 0
 
 
+def test_a_key_has_a_state_a_chunk_and_partition(spark):
+    """Whatever the batches in which its rows come; and one a partition once they are merged."""
+    df = spark.createDataFrame([(1, i) for i in range(3000)] + [(k, 0) for k in range(2, 50)], "k int, o int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        states = chunk_states(df, ["k"], "o", "o", 500, 4).collect()
+        got = {x["k"]: x for x in per_key_results(df, ["k"], "o", "o", 500, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len([x for x in states if x["k"] == 1]) <= -(-3000 // 500) + 4 and sum(x["n"] for x in states) == 3048
+    assert got[1]["n"] == 3000 and got[1]["chunks"] == 6 and got[1]["max_gap"] == 1 and got[1]["sum_value"] == 3000 * 2999 // 2
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "decimal(38,18)", "double"])
+def test_per_key_results_keep_fractions(spark, kind):
+    rows = [("a", "0.9"), ("a", "0.9"), ("b", None), ("a", "-1.5"), ("c", "2.25"), ("a", None)] * 5
+    df = spark.createDataFrame(rows, "k string, v string").withColumn("v", F.col("v").cast(kind)).repartition(4)
+    got = {x["k"]: x for x in per_key_results(df, ["k"], value="v", chunk_rows=4, partitions=3).collect()}
+    assert float(got["a"]["sum_value"]) == pytest.approx(1.5) and float(got["a"]["min_value"]) == -1.5 and float(got["a"]["max_value"]) == pytest.approx(0.9)
+    assert got["b"]["sum_value"] is None and got["b"]["min_value"] is None and got["b"]["n"] == 5 and float(got["c"]["sum_value"]) == 11.25
+    assert kind == "double" or got["a"]["sum_value"] == Decimal("1.5")
+    assert per_key_results(df.limit(0), ["k"], value="v").count() == 0
+
+
+def test_per_key_results_refuse_what_has_no_sum(spark):
+    df = spark.createDataFrame([("a", "1", 0.5, Decimal("9" * 37), float("nan")), ("a", "1", 0.5, Decimal("9" * 37), 1.0)] * 9, "k string, s string, f double, d decimal(38,0), x double")
+    with pytest.raises(TypeError, match="is string"):
+        per_key_results(df, ["k"], value="s")
+    with pytest.raises(TypeError, match="a time or a whole number"):
+        per_key_results(df, ["k"], order="f")
+    with pytest.raises(Exception, match="more than 38 digits"):
+        per_key_results(df, ["k"], value="d", partitions=1).collect()
+    x = per_key_results(df, ["k"], value="x").first()
+    assert x["min_value"] == 1.0 and x["max_value"] != x["max_value"]
+
+
+def test_heavy_keys_fold_once(spark):
+    plan = heavy_keys(spark.createDataFrame([("a", 1)] * 9, "t string, k int"), "t", "k", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_heavy_keys_count_null_keys(spark):
     rows = [("a", 1)] * 3 + [("a", None)] * 90 + [("a", 2)] * 7 + [("b", 2)] * 2
     got = heavy_keys(spark.createDataFrame(rows, "t string, k int"), "t", "k", 0.03).collect()
@@ -173,12 +236,63 @@ def test_orphans(spark, hot_share):
     rows = orphan_rows(refs, hot_share).collect()
     assert {x["row_id"]: x["kind"] for x in rows if x["table_name"] == "a"} == brute_orphans(children, parents)
     assert {x["row_id"]: x["kind"] for x in rows if x["table_name"] == "no_parents"} == brute_orphans(children[:9], [])
+    twice = [Reference("a", c.union(c.withColumn("at", F.col("at") + F.expr("INTERVAL 9 DAYS"))), p, copies=True)]
+    assert {x["row_id"]: x["kind"] for x in orphan_rows(twice, hot_share).collect()} == brute_orphans(children, parents)
     now = {x["key"]: (x["refs"], x["kind"]) for x in current_orphans(refs).collect() if x["table_name"] == "a"}
     gone = {k for k, _, g in parents if g}
     left = {k: sum(x[1] == k and x[3] is None for x in children) for k in (1, 2, 3, 4, 5, 6)}
     assert now == {k: (n, "missing" if k > 4 else "deleted") for k, n in left.items() if n and (k > 4 or k in gone)}
 
 
+def test_state_is_maintained_batch_by_batch(spark):
+    """Deltas applied in batches give the state, and the orphans, of all applied at once; orphans come and go on the way."""
+    r = random.Random(2)
+    when = lambda: T0 + timedelta(days=r.randrange(30))
+    deltas = []
+    for _ in range(300):
+        at = when()
+        deltas.append(("a", r.choice([1] * 9 + list(range(2, 12))), at, 1, 0))
+        if r.random() < 0.5:
+            deltas.append(("a", deltas[-1][1], at + timedelta(days=r.randrange(9)), -1, 0))
+    deltas += [("a", k, when(), 0, 1) for k in range(1, 9)] + [("a", k, T0 + timedelta(days=31), 0, -1) for k in (1, 2)] + [("a", 2, T0 + timedelta(days=33), 0, 1), ("a", 3, None, 0, -1)]
+    schema = "table_name string, key long, at timestamp_ntz, d_refs long, d_exists long"
+    whole = apply_deltas(spark.createDataFrame(deltas, schema))
+    now = lambda s: {x["key"]: (x["refs"], x["kind"]) for x in orphans_of_state(s).collect()}
+    for batches in ([deltas[i::5] for i in range(5)], [deltas, []], [sorted(deltas, key=lambda d: (d[2] is None, d[2] or T0))[i : i + 200] for i in range(0, 800, 200)]):
+        state, done = None, []
+        for b_ in batches:
+            state, done = apply_deltas(spark.createDataFrame(b_, schema), state).checkpoint(), [*done, *b_]
+            refs, there = defaultdict(int), defaultdict(int)
+            for _, k, _, d, e in done:
+                refs[k] += d
+                there[k] += e
+            born = {d[1] for d in done if d[4] > 0}
+            assert now(state) == {k: (n, "deleted" if k in born else "missing") for k, n in refs.items() if n > 0 and there[k] <= 0}
+        assert sorted(map(str, state.collect())) == sorted(map(str, whole.collect()))
+    assert apply_deltas(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_counts_as_of_the_child(spark):
+    """A record that is deleted and comes back: what counts is whether it was there when the child came."""
+    day = lambda n: T0 + timedelta(days=n)
+    p = spark.createDataFrame([(1, day(2), day(4)), (1, day(6), None), (2, day(3), day(1))], "key long, at timestamp_ntz, gone timestamp_ntz")
+    c = spark.createDataFrame([(i, 1, day(i), None) for i in range(8)] + [(20 + i, 2, day(i), None) for i in range(5)], "row_id long, key long, at timestamp_ntz, gone timestamp_ntz")
+    got = {x["row_id"]: x["kind"] for x in orphan_rows([Reference("t", c, p)]).collect()}
+    assert got == {0: "late", 1: "late", 4: "deleted", 5: "deleted", 20: "late", 21: "late", 22: "late", 23: "deleted", 24: "deleted"}
+
+
+@pytest.mark.parametrize("words", [1, 64, 1 << 20])
+def test_sieve_lets_all_partners_pass(spark, words):
+    keys = spark.range(0, 4000, 7).withColumnRenamed("id", "key").union(spark.sql("select cast(null as bigint)"))
+    rows = spark.range(8000).withColumnRenamed("id", "key").union(spark.sql("select cast(null as bigint)"))
+    s = sieve(keys, "key", words)
+    assert s.count() <= words
+    passed = {x[0] for x in sifted(rows, s, "key", words).collect()}
+    assert set(range(0, 4000, 7)) <= passed and None not in passed and (words < 1 << 20 or len(passed) < 700)
+    assert {x[0] for x in sifted(rows, s, "key", words, always=F.col("key").isNull() | (F.col("key") == 1)).collect()} >= {None, 1, 7}
+    assert sifted(rows, sieve(keys.limit(0), "key"), "key").count() == 0
+
+
 def test_records(spark):
     t = T0
     rows = [(1, "a", 5, t), (1, "a", 5, t - timedelta(days=1)), (2, None, None, t), (2, None, None, t), (None, "x", 1, t), (None, "x", 1, t)]
