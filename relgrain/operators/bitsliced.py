@@ -60,20 +60,25 @@ def numbers(planes: list[int], size: int) -> np.ndarray:
     return total
 
 
+def _position(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _pack(at: np.ndarray, size: int) -> bytes:
     """A compressed bitmap: the positions where few bits are set, else the bits."""
-    if 2 * len(at) < size // 8:
-        return b"p" + at.astype(np.uint16).tobytes()
+    position = _position(size)
+    if position().itemsize * len(at) < size // 8:
+        return b"p" + at.astype(position).tobytes()
     return b"b" + bitmap(at, size).to_bytes((size + 7) // 8, "little")
 
 
 def _unpack(raw: bytes, size: int) -> np.ndarray:
     if raw[:1] == b"p":
-        return np.frombuffer(raw, np.uint16, offset=1).astype(np.int64)
+        return np.frombuffer(raw, _position(size), offset=1).astype(np.int64)
     return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1), bitorder="little", count=size))
 
 
-_PART = "block int, ids binary, types binary, payload binary"
+_PART = "block int, span int, ids binary, types binary, payload binary"
 
 
 def _encode(entities: np.ndarray, types: np.ndarray, counts: np.ndarray, latest: np.ndarray, totals: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -119,17 +124,18 @@ def _presum(block: np.ndarray, entity: np.ndarray, kind: np.ndarray, n: np.ndarr
     return block[s], entity[s], kind[s], np.add.reduceat(n, s), np.maximum.reduceat(at, s), np.add.reduceat(total, s)
 
 
-def _partials(rows: int):
+def _partials(rows: int, starts: np.ndarray):
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             block, entity, kind, n, at, total = _presum(*(t.column(c).to_numpy() for c in ("block", "entity", "type", "n", "at", "total")))
-            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            out = [(int(block[s]), *_encode(entity[s:e], kind[s:e], n[s:e], at[s:e], total[s:e])) for s, e in zip(cuts, [*cuts[1:], len(block)])]
+            span = np.searchsorted(starts, kind, side="right")  # ascending with the types of a block
+            cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (span[1:] != span[:-1])]))
+            out = [(int(block[s]), int(span[s]), *_encode(entity[s:e], kind[s:e], n[s:e], at[s:e], total[s:e])) for s, e in zip(cuts, [*cuts[1:], len(block)])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "ids", "types", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "span", "ids", "types", "payload"])
 
         for batch in batches:
             if batch.num_rows:
@@ -142,11 +148,15 @@ def _partials(rows: int):
     return build
 
 
-def _features(axis: list[int], cut_us: int, entity: str):
-    place = {t: i for i, t in enumerate(axis)}
+_NUMBERS, _ARRAYS = ("n_events", "n_types"), ("types", "counts", "recency_s", "totals")
+
 
+def _features(cut_us: int, entity: str):
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = np.sort(left.column("entity").to_numpy())
+        lists = left.column("axis").combine_chunks()
+        axis = np.sort(lists.flatten().to_numpy())  # of the one row that has it
+        ids = np.sort(left.column("entity").drop_null().to_numpy())
+        span = left.column("span")[0].as_py() if left.num_rows else 0
         size = len(ids)
         counts: dict[int, list[int]] = {}
         totals: dict[int, list[int]] = {}
@@ -155,10 +165,14 @@ def _features(axis: list[int], cut_us: int, entity: str):
             for local, kinds, payload in zip(*(batch.column(c).to_pylist() for c in ("ids", "types", "payload"))):
                 there, kinds = np.frombuffer(local, np.int64), np.frombuffer(kinds, np.int64)
                 to = np.searchsorted(ids, there)  # from the part's ordinals to the block's
-                for kind, (here, c, t, last) in zip(kinds, _decode(payload, len(kinds), len(there))):
-                    row = place[int(kind)]
-                    counts[row] = carry_add(counts.get(row, []), [bitmap(to[x], size) for x in c])
-                    totals[row] = carry_add(totals.get(row, []), [bitmap(to[x], size) for x in t])
+                own = (to < size) & (ids[np.minimum(to, size - 1)] == there) if size else np.zeros(len(there), bool)
+                places = np.searchsorted(axis, kinds)
+                if (places == len(axis)).any() or (axis[places] != kinds).any():
+                    raise ValueError("events have a type that the table of types lacks")
+                for row, (here, c, t, last) in zip(places.tolist(), _decode(payload, len(kinds), len(there))):
+                    counts[row] = carry_add(counts.get(row, []), [bitmap(to[x[own[x]]], size) for x in c])
+                    totals[row] = carry_add(totals.get(row, []), [bitmap(to[x[own[x]]], size) for x in t])
+                    last, here = last[own[here]], here[own[here]]
                     latest[row, to[here]] = np.maximum(latest[row, to[here]], last)
         n, total = np.zeros((2, size, len(axis)), np.int64)
         for row, planes in counts.items():
@@ -170,14 +184,15 @@ def _features(axis: list[int], cut_us: int, entity: str):
         return pa.Table.from_arrays(
             [
                 pa.array(ids, pa.int64()),
+                pa.array(np.full(size, span), pa.int32()),
                 pa.array(n.sum(axis=1), pa.int64()),
                 pa.array((n > 0).sum(axis=1), pa.int64()),
-                listed(np.broadcast_to(np.array(axis, np.int64), (size, len(axis)))),
+                listed(np.broadcast_to(axis, (size, len(axis)))),
                 listed(n),
                 listed(recency, ~np.ascontiguousarray(seen).ravel()),
                 listed(total),
             ],
-            [entity, "n_events", "n_types", "types", "counts", "recency_s", "totals"],
+            [entity, "span", *_NUMBERS, *_ARRAYS],
         )
 
     return merge
@@ -191,15 +206,19 @@ def entity_features(
     ``events``: entity (bigint), type (bigint), n, at (microseconds), total, each a bigint; n and total not negative.
     They may be combined already, n being how many events a row stands for. Events at or after the cut, or without
     time, entity or type, are not features and are left out. ``entities`` and ``types`` have the ids that get a row and
-    a place on the axis; events of a type that ``types`` lacks are an error. A type that an entity never had has count 0,
+    a place on the axis; events of an entity that ``entities`` lacks are left out, those of a type that ``types`` lacks
+    are an error. A type that an entity never had has count 0,
     total 0 and no recency. ``recency_s`` is whole seconds from the latest event to the cut. With ``undated`` events without
     time are features too: they count and add their total, and give no recency.
 
-    The number of types is checked against ``max_types``: the axis is held by every task. Entities are put in blocks of
-    about ``per_block``, fewer if there are many types, by a hash of their id, and get their ordinal in the block's sorted ids. Events are first put in
+    Types are cut into spans of about ``max_types`` neighbours, one span where there are no more; a task holds one
+    block of entities and one span, and an entity's spans are put together at the end, so there may be any number of
+    types. The driver gets one number for each further span. Entities are put in blocks of about ``per_block``, fewer
+    if there are many types, by a hash of their id, and get their ordinal in the block's sorted ids. Events are first put in
     ranges of blocks, so that a task makes few and dense counters however many blocks there are; ranges are of equal
     size whatever the blocks, since within a block they go on by a hash of the event. An entity with any share of the
-    events is spread over tasks, and costs each of them one position in each bitmap of its types.
+    events is spread over tasks, and costs each of them one position in each bitmap of its types. Entities and types are
+    counted as this function is called.
     """
     spark = events.sparkSession
     if undated:
@@ -207,14 +226,25 @@ def entity_features(
     events = events.filter(F.col("entity").isNotNull() & F.col("type").isNotNull() & (F.col("at") < cut_us))
     entities = entities.select(F.col(entity).cast("bigint").alias("entity")).filter("entity is not null").distinct()
     known = types.select(F.col(types.columns[0]).cast("bigint").alias("type")).filter("type is not null").distinct()
-    axis = sorted(r[0] for r in known.limit(max_types + 1).collect())
-    if len(axis) > max_types:
-        raise ValueError(f"more than {max_types} event types")
-    per_block = max(1, min(per_block, _CELLS // max(1, len(axis))))
+    n_types = known.count()
+    spans = max(1, -(-n_types // max_types))
+    starts = sorted(set(known.agg(F.percentile_approx("type", [k / spans for k in range(1, spans)], 100_000)).first()[0])) if spans > 1 else []
+    per_block = max(1, min(per_block, _CELLS // max(1, -(-n_types // spans))))
     n_blocks = max(1, -(-entities.count() // per_block))
     block = F.pmod(F.xxhash64("entity"), F.lit(n_blocks)).cast("int").alias("block")
     columns = ["entity", "type", "n", "at", "total"]
     near = events.select(block, *columns, F.xxhash64(*columns).alias("spread")).repartitionByRange(shuffle_partitions(spark), "block", "spread")
-    parts = near.select("block", *columns).mapInArrow(_partials(batch_rows), _PART)
-    schema = f"`{entity}` bigint, n_events bigint, n_types bigint, types array<bigint>, counts array<bigint>, recency_s array<bigint>, totals array<bigint>"
-    return entities.select("entity", block).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_features(axis, cut_us, entity), schema)
+    parts = near.select("block", *columns).mapInArrow(_partials(batch_rows, np.array(starts, np.int64)), _PART)
+    # Each task gets the ids of its block and the types of its span, which are a small part of what it gives.
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ids = entities.select("entity", block, upto(len(starts) + 1).alias("span"), F.lit(None).cast("array<bigint>").alias("axis"))
+    span = F.size(F.filter(F.lit(starts).cast("array<bigint>"), lambda s: s <= F.col("type"))) if starts else F.lit(0)
+    axes = known.groupBy(span.alias("span")).agg(F.collect_list("type").alias("axis")).select(F.lit(None).cast("bigint").alias("entity"), upto(n_blocks).alias("block"), "span", "axis")
+    schema = f"`{entity}` bigint, span int, n_events bigint, n_types bigint, types array<bigint>, counts array<bigint>, recency_s array<bigint>, totals array<bigint>"
+    out = ids.unionByName(axes).groupBy("block", "span").cogroup(parts.groupBy("block", "span")).applyInArrow(_features(cut_us, entity), schema)
+    if not starts:
+        return out.drop("span")
+    whole = out.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("span", *_NUMBERS, *_ARRAYS))).alias("spans"))
+    each = lambda c: F.transform("spans", lambda s: s[c])
+    total = lambda c: F.aggregate(each(c), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return whole.select(entity, *[total(c).alias(c) for c in _NUMBERS], *[F.flatten(each(c)).alias(c) for c in _ARRAYS])

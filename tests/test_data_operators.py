@@ -173,7 +173,9 @@ def test_carry_add(x, y):
 @given(st.sets(st.integers(0, 999)))
 def test_packed_bitmaps(at):
     at = np.array(sorted(at), np.int64)
-    assert (b._unpack(b._pack(at, 1000), 1000) == at).all()
+    for size in (1000, 70_000, 2_000_000):
+        far = at + size - 1000
+        assert (b._unpack(b._pack(far, size), size) == far).all()
 
 
 def test_entity_features(spark):
@@ -192,8 +194,32 @@ def test_entity_features(spark):
         assert x["types"] == [10, 20, 30, 40] and x["n_events"] == sum(x["counts"]) and x["n_types"] == sum(n > 0 for n in x["counts"])
     assert b.entity_features(df.limit(0), who, types, "customer_id", 1).count() == 6
     assert b.entity_features(df, who.limit(0), types, "customer_id", 1).count() == 0
-    with pytest.raises(ValueError, match="event types"):
-        b.entity_features(df, who, types, "customer_id", 1, max_types=2)
+    some = {x["customer_id"]: x for x in b.entity_features(df, who.filter("customer_id in (2, 99)"), types, "customer_id", 2_000_000, per_block=2, batch_rows=50).collect()}
+    assert some == {k: got[k] for k in (2, 99)}
+    spanned = b.entity_features(df, who, types, "customer_id", 2_000_000, per_block=2, max_types=2, batch_rows=50)
+    assert {x["customer_id"]: x for x in spanned.collect()} == got and spanned.columns == b.entity_features(df, who, types, "customer_id", 1).columns
+    with pytest.raises(Exception, match="a type that the table of types lacks"):
+        b.entity_features(df, who, types.filter("id < 20"), "customer_id", 2_000_000).collect()
+
+
+def test_more_types_than_a_task_holds(spark):
+    events = spark.range(60_000).selectExpr("id % 30 as entity", "(id * 7) % 25000 as type", "1L as n", "id as at", "2L as total").repartition(5)
+    who, types = spark.range(31).withColumnRenamed("id", "customer_id"), spark.range(25_000)
+    got = {x["customer_id"]: x for x in b.entity_features(events, who, types, "customer_id", 10**6).collect()}
+    assert len(got) == 31 and all(x["types"] == list(range(25_000)) and len(x["counts"]) == 25_000 for x in got.values())
+    expected = defaultdict(int)
+    for i in range(60_000):
+        expected[i % 30, i * 7 % 25_000] += 1
+    assert {(e, t): n for e, x in got.items() for t, n in enumerate(x["counts"]) if n} == expected
+    assert got[30]["n_events"] == 0 and all(x["totals"] == [2 * n for n in x["counts"]] and x["n_events"] == sum(x["counts"]) for x in got.values())
+
+
+def test_blocks_of_many_entities(spark):
+    """Positions beyond 16 bits: few of a block's entities have the type."""
+    events = spark.createDataFrame([(e, 10, e % 5 + 1, 5, e) for e in range(7, 100_000, 9_999)] + [(e, 20, 1, 5, 0) for e in range(100_000)], "entity long, type long, n long, at long, total long").repartition(3)
+    out = b.entity_features(events, spark.range(100_000).withColumnRenamed("id", "customer_id"), spark.createDataFrame([(10,), (20,)], "id long"), "customer_id", 10, per_block=200_000)
+    got = {x["customer_id"]: (x["counts"], x["totals"]) for x in out.filter("counts[0] > 0 or counts[1] <> 1").collect()}
+    assert got == {e: ([e % 5 + 1, 1], [e, 0]) for e in range(7, 100_000, 9_999)}
 
 
 def test_entity_features_without_time(spark):
