@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .sieve import sieve, sifted
 
 #: Columns of a state; ``changes`` has when the count of existence went up and down, in order.
@@ -122,20 +123,26 @@ def orphan_rows(references: Sequence[Reference], hot_share: float = 1 / 256) ->
     most ``1 / hot_share`` a table, are broadcast; of the others a sieve of bounded size is, and what passes it is
     joined by key. The few rows of hot keys that go the same way are spread by a salt that matches nothing, so no key
     gathers in one task. Copies of a child record are counted as references of their own, which changes no sign, and
-    become one row at the end, of the doubtful keys only.
+    become one row at the end, of the doubtful keys only. The doubtful keys are written as a checkpoint as this
+    function is called, since hot keys, sieve and join each need them.
     """
-    parts = [_orphans_of(r, hot_share) for r in references]
+    doubtful = checkpoint(reduce(DataFrame.unionByName, [_doubtful(r).withColumn("place", F.lit(i)) for i, r in enumerate(references)]))
+    parts = [_orphans_of(r, doubtful.filter(F.col("place") == i), hot_share) for i, r in enumerate(references)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _orphans_of(r: Reference, hot_share: float) -> DataFrame:
+def _doubtful(r: Reference) -> DataFrame:
+    """Keys of the state at which the count of existence can have been zero when some reference came."""
     # By key alone, so that parents that are partitioned by it already are not shuffled again.
     refs = _combine_refs(_counts_of_refs(_log(r.children, True)), ["key"])
     state = _joined(refs, _combine_existence(_log(r.parents, False).filter("d_exists <> 0"), ["key"]), ["key"]).filter("rows > 0")
     ups, downs = _times(F.col("changes"), True), _times(F.col("changes"), False)
     born, died = F.get(ups, F.lit(0))["at"], F.get(downs, F.lit(0))["at"]
     doubtful = (F.size(ups) == 0) | (born.isNotNull() & (F.col("undated_ref") | (F.col("first_ref") < born))) | ((F.size(downs) > 0) & (F.col("undated_ref") | died.isNull() | (F.col("last_ref") >= died)))
-    state = state.filter(F.coalesce(doubtful, F.lit(True))).select("key", "rows", "changes")
+    return state.filter(F.coalesce(doubtful, F.lit(True))).select("key", "rows", "changes")
+
+
+def _orphans_of(r: Reference, state: DataFrame, hot_share: float) -> DataFrame:
     least = max(1, int((r.children.count() if r.size is None else r.size) * hot_share))
     hot = F.broadcast(state.filter(F.col("rows") >= least).select("key", F.col("changes").alias("hot")))
     cold = state.filter(F.col("rows") < least).select("key", F.col("changes").alias("cold"), F.lit(0).alias("salt"))

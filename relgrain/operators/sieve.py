@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of 64 bits: the sieve never has more rows than that, 16 bytes each, however many keys there are.
-WORDS = 1 << 20
+WORDS = 1 << 19
 
 
 def _word(h: Column, words: int) -> Column:
