@@ -30,5 +30,19 @@ def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def looked_up(df: DataFrame, table: DataFrame, key: str, how: str = "inner", spread: str | None = None, salts: int = 64) -> DataFrame:
+    """``df`` with the columns of ``table``, which has a row for each value of ``key``: for tables that are nearly always
+    small, beside rows of which one key may hold a third.
+
+    A table of a checked size is broadcast. A larger one is joined by key and a salt made of ``spread`` (a column of
+    ``df``), so that no key gathers in one task; the table is repeated ``salts`` times for it. The result is the same.
+    """
+    if table.limit(10_001).count() <= 10_000:
+        return df.join(F.broadcast(table), key, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(spread) if spread else F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    return df.withColumn("__salt", salt).join(salted, [key, "__salt"], how).drop("__salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
