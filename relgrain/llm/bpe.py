@@ -48,23 +48,40 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def check_supported(vocabulary: dict) -> None:
+    """Raise unless texts are encoded as the vocabulary file says: byte-level BPE whose pieces are those above."""
+    own, pre, model = "byte-level BPE", vocabulary.get("pre_tokenizer") or {}, vocabulary.get("model") or {}
+    wrong = []
+    if model.get("type", "BPE") != "BPE":
+        wrong.append(f"its model is {model['type']}")
+    wrong += [f"its model has {x}" for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(x)]
+    if vocabulary.get("normalizer"):
+        wrong.append("it normalizes texts")
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        wrong.append("it splits texts otherwise")
+    if wrong:
+        raise ValueError(f"only {own} is encoded; of this vocabulary {', '.join(wrong)}")
+
+
 class PrefixEncoder:
     """Encoder of one byte-level BPE vocabulary. Its caches are bounded and only save time."""
 
     def __init__(self, path: str, cached: int = 400_000) -> None:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            vocabulary = json.load(f)
+        check_supported(vocabulary)
+        model = vocabulary["model"]
         names = _byte_names()
         raw = {t: bytes(map(names.__getitem__, t)) for t in model["vocab"] if all(c in names for c in t)}
         self.token_id = {b: model["vocab"][t] for t, b in raw.items()}
         self.token_bytes = {i: b for b, i in self.token_id.items()}
         self._merge: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)
-        self._rank: dict[int, int] = {}  # left << 20 | right -> rank
+        self._rank: dict[int, int] = {}  # left << 32 | right -> rank
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = self.token_id[raw[left]], self.token_id[raw[right]]
             self._merge.setdefault(self.token_id[raw[left] + raw[right]], (rank, a, b))
-            self._rank[a << 20 | b] = rank
+            self._rank[a << 32 | b] = rank
         self._border: dict[int, bool] = {}
         self._known: dict[bytes, list[int]] = {}
         self._ids: dict[str, bytes] = _Cache(self._piece, cached)
@@ -78,7 +95,7 @@ class PrefixEncoder:
 
     def border_holds(self, s: int, t: int) -> bool:
         """Whether s followed by t is how their bytes are encoded."""
-        key = s << 20 | t
+        key = s << 32 | t
         known = self._border.get(key)
         if known is None:
             if len(self._border) > 2_000_000:
@@ -90,7 +107,7 @@ class PrefixEncoder:
         rank, merge = self._rank, self._merge
         undone, strict = float("inf"), True  # a merge across the border counts if it comes before what was undone
         while True:
-            own = rank.get(s << 20 | t)
+            own = rank.get(s << 32 | t)
             if own is not None and (own < undone or (not strict and own == undone)):
                 return False
             left, right = merge.get(s), merge.get(t)
@@ -117,7 +134,7 @@ class PrefixEncoder:
                 if size == end:
                     break
                 s = last[end - size - 1]
-                holds = border.get(s << 20 | t)
+                holds = border.get(s << 32 | t)
                 if holds is None:
                     holds = self.border_holds(s, t)
                 if holds:

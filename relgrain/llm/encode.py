@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import check_supported, encoder
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -19,12 +21,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@lru_cache(16)
+def check_vocabulary(path: str) -> None:
+    with open(path, encoding="utf-8") as f:
+        check_supported(json.load(f))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The columns of ``df`` but ``text``, and ``ids``: the token ids of the whole text, without special tokens.
 
     An empty and a null text have no ids. Strings of special tokens in a text are ordinary text. A row of any length
-    is encoded whole. A column of ``df`` named as the result is replaced by it. Narrow: nothing is shuffled.
+    is encoded whole. A column of ``df`` named as the result is replaced by it. Narrow: nothing is shuffled. A vocabulary
+    that is not byte-level BPE, or that says to normalize or split texts otherwise, is an error.
     """
+    check_vocabulary(path)
     kept = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +57,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def token_counts(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """The columns of ``df`` but ``text``, and the number of tokens of the whole text; 0 for an empty or null one."""
+    check_vocabulary(path)
     kept = [c for c in df.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, shuffle_partitions, small
+from ..session import checkpoint, looked_up, shuffle_partitions
 from .encode import token_counts
 
-#: The unit interval of the documents' hashes is cut into so many bins; token sums by bin are what the driver gets.
+#: The unit interval of the documents' hashes is cut into so many bins; a source's rate is solved on its token sums by bin.
 BINS = 4096
 
 
@@ -59,7 +60,7 @@ def solve_rate(source: str, tokens: np.ndarray, target: float, cap: int) -> Rate
     if target >= cap * tokens.sum():
         return Rate(source, math.inf, (0.0,) * cap)
     low, high = 0.0, 1.0
-    while total(high) < target and high < 1e4:
+    while total(high) < target:  # it ends: nearly all copies are made as the mean grows
         high *= 2
     for _ in range(80):
         mean = (low + high) / 2
@@ -71,34 +72,46 @@ def solve_rate(source: str, tokens: np.ndarray, target: float, cap: int) -> Rate
 class Mix:
     rates: DataFrame  #: source, target_share, max_repeats, mean, steps; a row for each listed source
     tokens: DataFrame  #: doc_id, source, n_tokens, u of the listed sources' documents
+    total: int  #: tokens of all of them
 
 
-def plan_mix(documents: DataFrame, targets: DataFrame, path: str, seed: int = 1, max_sources: int = 10_000) -> Mix:
+_RATES = "source string, target_share double, max_repeats int, mean double, steps array<double>"
+
+
+def _solver(total: int):
+    """One source's rate from its row of the list and its sums of at most ``BINS`` bins."""
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for r in left.to_pylist():
+            tokens = np.zeros(BINS, np.int64)
+            np.add.at(tokens, right.column("bin").to_numpy(), right.column("n").to_numpy())
+            share, cap = r["target_share"] or 0.0, r["max_repeats"] or 0
+            rate = solve_rate(r["source"], tokens, share * total, cap)
+            out.append({"source": r["source"], "target_share": share, "max_repeats": cap, "mean": rate.mean, "steps": list(rate.steps)})
+        schema = pa.schema([("source", pa.string()), ("target_share", pa.float64()), ("max_repeats", pa.int32()), ("mean", pa.float64()), ("steps", pa.list_(pa.float64()))])
+        return pa.Table.from_pylist(out, schema)
+
+    return solve
+
+
+def plan_mix(documents: DataFrame, targets: DataFrame, path: str, seed: int = 1, keep: bool = False) -> Mix:
     """Rates at which the listed sources' documents are to be repeated.
 
     Sizes are tokens of the whole texts, none for empty and null ones. The total to be shared out is what all
-    documents of the listed sources hold. Token counts are made once and written as a checkpoint. The driver gets the
-    token sums of at most ``BINS`` bins for each source; the number of sources is checked. A source listed twice
-    counts once, with its largest share and cap. Rows without source are not listed.
+    documents of the listed sources hold. Texts are counted once, as this function is called; what is written as a
+    checkpoint is the sums of at most ``BINS`` bins for each source and, with ``keep``, a row for each document. Rates are
+    solved source by source where the sums are; the driver gets the total. A source listed twice counts once, with its
+    largest share and cap. Rows without source are not listed.
     """
-    listed = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = listed.limit(max_sources + 1).collect()
-    if len(wanted) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    names = small(documents.sparkSession.createDataFrame([(r["source"],) for r in wanted], "source string"), max_sources)
-    tokens = token_counts(documents.select("doc_id", "source", "text").join(names, "source", "left_semi"), path)
-    tokens = checkpoint(tokens.withColumn("u", uniform("doc_id", seed)))
-    sums: dict[str, np.ndarray] = {}
-    bins = tokens.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n"))
-    for r in bins.toLocalIterator():
-        sums.setdefault(r["source"], np.zeros(BINS, np.int64))[r["bin"]] += r["n"]
-    total = sum(int(x.sum()) for x in sums.values())
-    rows = []
-    for r in wanted:
-        rate = solve_rate(r["source"], sums.get(r["source"], np.zeros(BINS, np.int64)), (r["target_share"] or 0.0) * total, int(r["max_repeats"] or 0))
-        rows.append((r["source"], float(r["target_share"] or 0.0), int(r["max_repeats"] or 0), rate.mean, list(rate.steps)))
-    rates = documents.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int, mean double, steps array<double>")
-    return Mix(rates, tokens)
+    listed = targets.filter(F.col("source").isNotNull()).groupBy("source")
+    listed = listed.agg(F.max("target_share").cast("double").alias("target_share"), F.max("max_repeats").cast("int").alias("max_repeats"))
+    named = looked_up(documents.select("doc_id", "source", "text"), listed.select("source"), "source", spread="doc_id")
+    tokens = token_counts(named, path).withColumn("u", uniform("doc_id", seed))
+    tokens = checkpoint(tokens) if keep else tokens
+    sums = checkpoint(tokens.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n")))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    return Mix(listed.groupBy("source").cogroup(sums.groupBy("source")).applyInArrow(_solver(total), _RATES), tokens, total)
 
 
 def copies(u: Column, steps: Column) -> Column:
@@ -109,11 +122,11 @@ def mix(documents: DataFrame, targets: DataFrame, path: str, seed: int = 1) -> D
     """``doc_id, copy, source, text`` of the mixture, in an order that is random over the whole.
 
     Copies of a document are numbered from 1. The order is that of a hash of document, copy and seed: copies are sent
-    to partitions by it and sorted within. Only the rates of the listed sources, whose number is checked, are
-    broadcast; a document's copies follow from its own hash, so the texts are shuffled once and joined with nothing.
+    to partitions by it and sorted within. A document's copies follow from its own hash and the rate of its source,
+    which is broadcast if the sources are few (``looked_up``), so the texts are shuffled once.
     """
     rates = plan_mix(documents, targets, path, seed).rates
-    rows = documents.select("doc_id", "source", "text").join(small(rates.select("source", "steps")), "source")
+    rows = looked_up(documents.select("doc_id", "source", "text"), rates.select("source", "steps"), "source", spread="doc_id")
     n = copies(uniform("doc_id", seed), F.col("steps"))
     rows = rows.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
     place = F.xxhash64("doc_id", "copy", F.lit(seed + 1))
@@ -127,9 +140,9 @@ def mix_report(documents: DataFrame, targets: DataFrame, path: str, seed: int =
     ``source, target_share, max_repeats, documents, tokens_available, mean_rate, documents_used, copies, most_copies,
     tokens, actual_share``; the last is of all tokens of the mixture, null if that is empty.
     """
-    plan = plan_mix(documents, targets, path, seed)
+    plan = plan_mix(documents, targets, path, seed, keep=True)
     n = copies(F.col("u"), F.col("steps")).cast("bigint")
-    used = plan.tokens.join(small(plan.rates.select("source", "steps")), "source").withColumn("n", n)
+    used = looked_up(plan.tokens, plan.rates.select("source", "steps"), "source", spread="doc_id").withColumn("n", n)
     sums = used.groupBy("source").agg(
         F.count("*").alias("documents"),
         F.sum("n_tokens").alias("tokens_available"),

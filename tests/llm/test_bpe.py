@@ -105,3 +105,26 @@ def test_operator(spark, own):
     assert sorted(map(tuple, counts)) == sorted((i, len(own.encode(t))) for i, t, _ in rows)
     assert encode(df.limit(0), vocabulary()).count() == 0
     assert "Exchange" not in encode(spark.createDataFrame(rows, df.schema), vocabulary())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_vocabularies_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Hello")], "doc_id long, text string")
+    for f in (encode, token_counts):
+        with pytest.raises(ValueError, match="end_of_word_suffix, it normalizes texts, it splits texts otherwise"):
+            f(docs, vocabulary("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="it normalizes"):
+        encoder(vocabulary("word_bpe_49k.json"))
+    assert encoder(vocabulary()).encode("Hello")
+
+
+def test_ids_beyond_twenty_bits(own, tmp_path):
+    """Ids are only names: a vocabulary whose ids lie three million higher encodes the same, shifted."""
+    import json
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        v = json.load(f)
+    v["model"]["vocab"] = {t: i + 3_000_000 for t, i in v["model"]["vocab"].items()}
+    path = tmp_path / "far.json"
+    path.write_text(json.dumps(v), encoding="utf-8")
+    for text in ("The quick brown fox, unbelievableness 123", "é漢 \n\n  don't"):
+        assert encoder(str(path)).encode(text) == [i + 3_000_000 for i in own.encode(text)]

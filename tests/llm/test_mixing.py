@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -82,3 +83,18 @@ def test_nothing_to_mix(spark, tables):
     assert mix(docs.limit(0), targets, vocabulary()).count() == 0 and mix(docs, targets.limit(0), vocabulary()).count() == 0
     empty = mix_report(docs.limit(0), targets, vocabulary()).collect()
     assert {r["source"]: r["actual_share"] for r in empty} == dict.fromkeys(("big", "mid", "small", "gone"))
+
+
+def test_more_sources_than_are_broadcast(spark):
+    """Eleven thousand sources: rates are solved where the sums are, and joined with a salt."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "case when id < 10000 then 'hot' else concat('s', id % 11000) end as source", "'a b c' as text")
+    targets = spark.range(11_000).selectExpr("concat('s', id) as source", "0.5 / 11000 as target_share", "3 as max_repeats").unionByName(spark.sql("select 'hot' as source, 0.5 as target_share, 3 as max_repeats"))
+    out = mix(docs, targets, vocabulary())
+    by = {r["source"] == "hot": r["n"] for r in out.groupBy("source").count().withColumnRenamed("count", "n").groupBy((F.col("source") == "hot").alias("h")).agg(F.max(F.when(F.col("source") == "hot", "hot").otherwise("")).alias("source"), F.sum("n").alias("n")).collect()}
+    assert by[True] == pytest.approx(15_000, rel=0.02) and by[False] > 0 and out.filter("copy > 3").count() == 0
+
+
+def test_rates_of_any_size():
+    tokens = np.full(4096, 1)
+    rate = solve_rate("s", tokens, 39_000 * tokens.sum(), 40_000)
+    assert rate.mean == pytest.approx(39_000, rel=0.01) and len(rate.steps) == 40_000
