@@ -24,7 +24,8 @@ _MARK = re.compile(r"(?:\s*(?:\.{3}|…|\[[^\[\]\n]{0,40}\]|\([a-z ]{0,40}\)|-{2
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words, and as nothing the letters beside digits in numbers, hashes and addresses.
 _VOCABULARY = re.compile(r"(?<=[\d_])[A-Za-z]++|(?<![A-Za-z])[A-Za-z]++(?=[\d_])|([^\W\d_]+)")
-_END = re.compile(r"[.!?。！？…:;]['\")»”\]]*\Z|[)\]]\Z|[^\w\s.,&%$€£/\\'\"<>=+*@#-]\Z")
+_STOPS, _CLOSERS = ".!?。！？…:;", "'\")»”]"
+_OTHER_END = re.compile(r"[)\]]\Z|[^\w\s.,&%$€£/\\'\"<>=+*@#-]\Z")
 _HEADER_LINE = re.compile(r"(?:From|To|Cc|Subject|Date|Reply-To|In-Reply-To|References|Received|Message-ID|MIME-Version|Content-[\w-]+):", re.I)
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 _ITEM = re.compile(r"[-*•] ")
@@ -32,13 +33,19 @@ _LABELLED = re.compile(r"[^\W\d_a-z][^\W\d_]*[.:]? [+(\d][\d ()/.-]*\Z")
 _STOP = re.compile(r"[.!?。！？]['\")»”]*(?=\s|\Z)")
 
 
-#: How far back a mark or the end of a sentence is looked for: more than the longest of them.
+#: How far back a mark is looked for: more than the longest that there can be, blanks before it aside.
 _TAIL = 400
 
 
 def _unmarked(text: str) -> str:
     """The text without a mark at its end. Only the end is searched, so a text of any length takes as long as its end."""
-    return text[:-_TAIL] + _MARK.sub("", text[-_TAIL:])
+    m = _MARK.search(text[-_TAIL:])
+    return (text[:-_TAIL] + text[-_TAIL:][: m.start()]).rstrip() if m else text
+
+
+def _ended(text: str) -> bool:
+    """Whether the text ends as a sentence may: with a stop, closing quotes and brackets aside, or with a symbol."""
+    return text.rstrip(_CLOSERS)[-1:] in _STOPS and bool(text.strip(_CLOSERS)) or bool(_OTHER_END.search(text[-1:]))
 
 
 def _last_word(text: str) -> str | None:
@@ -54,6 +61,20 @@ def _words(text: str) -> list[str]:
     return [x for x in _VOCABULARY.findall(text) if x]
 
 
+def _last_two(text: str) -> list[str]:
+    """The last two words. As much of the text is read as they take."""
+    size = _TAIL
+    while True:
+        tail = text[-size:]
+        if size < len(text):
+            begins = re.search(r"\W", tail)  # what comes before may be the rest of a word
+            tail = tail[begins.end() :] if begins else ""
+        found = _words(tail)
+        if len(found) > 1 or size >= len(text):
+            return found[-2:]
+        size *= 8
+
+
 class Ending(NamedTuple):
     structure: str | None  #: what is unfinished: headers, multipart, markup, encoding
     token: str | None  #: the word with which the text stops, unless something follows it
@@ -84,7 +105,7 @@ def _decode(body: str, encoding: str | None) -> tuple[str, bool]:
 
 def _last_part(head: str, body: str) -> tuple[str, str]:
     """Headers and body of the innermost part in which an unfinished multipart stops."""
-    for _ in range(8):
+    while True:  # the body grows shorter each time
         flat = _FOLD.sub(" ", head)
         m = _BOUNDARY.search(flat)
         if not m:
@@ -103,7 +124,6 @@ def _last_part(head: str, body: str) -> tuple[str, str]:
             head, body = rest[: cut.start()], rest[cut.end() :]
         else:
             return rest, ""
-    return head, body
 
 
 def stopped_in_sentence(text: str) -> bool:
@@ -114,7 +134,7 @@ def stopped_in_sentence(text: str) -> bool:
     that many texts end with are told by the corpus (``cut_ends``).
     """
     text = _QUOTE.sub("", text.replace("\r\n", "\n")).rstrip()
-    if not text or _END.search(text[-_TAIL:]):
+    if not text or _ended(text):
         return False
     paragraph = re.split(r"\n\s*\n", text)[-1]
     lines = paragraph.split("\n")
@@ -124,7 +144,7 @@ def stopped_in_sentence(text: str) -> bool:
     if _ITEM.match(last):
         # Items end without a full stop, unless this one holds a sentence or those before it end with one.
         before = [x.strip() for x in lines[:-1] if _ITEM.match(x.strip())]
-        return bool(_STOP.search(last[2:])) or bool(before) and all(_STOP.search(x[-_TAIL:]) and _END.search(x[-_TAIL:]) for x in before)
+        return bool(_STOP.search(last[2:])) or bool(before) and all(_STOP.search(x) and _ended(x) for x in before)
     if any(x.rstrip() == "--" for x in lines) or _LABELLED.match(last):
         return False  # a signature, or a labelled number
     if "://" in last.split()[-1] or _HEADER_LINE.match(last):
@@ -188,32 +208,36 @@ def ending(text: str) -> Ending | None:
     plain = html.unescape(_TAG.sub(" ", readable)) if "</" in readable or kind == "text/html" else readable
     plain = plain.rstrip()
     bare = _unmarked(plain) if marked else plain
-    if _END.search(bare[-_TAIL:]) and bare != plain:
+    if _ended(bare) and bare != plain:
         return Ending(structure, None, None, False, False, whole, *sizes)
     token = _last_word(bare)
-    near = _words(bare[-_TAIL:]) if token else []
+    near = _last_two(bare) if token else []
     pair = f"{near[-2]} {token}" if len(near) > 1 and near[-1] == token else None
-    alone = bool(token) and token[0].islower() and len(bare[-_TAIL:].split()[-1]) - len(token) <= 2
+    alone = bool(token) and token[0].islower() and len(bare.rsplit(None, 1)[-1]) - len(token) <= 2
     return Ending(structure, token, pair, alone, stopped_in_sentence(bare), whole, *sizes)
 
 
-def _leaves(head: str, body: str, deep: int = 8) -> Iterator[tuple[str, str, bool]]:
-    """Headers and body of every part that is no multipart itself, and whether the message may stop within it."""
-    m = _BOUNDARY.search(_FOLD.sub(" ", head)) if deep else None
-    if not m:
-        yield head, body, True
-        return
-    lines = list(re.finditer(rf"(?m)^--{re.escape(m.group(1))}(--)?[ \t]*\r?(?:\n|\Z)", body))
-    closed = any(x.group(1) for x in lines)
-    yield "", body[: lines[0].start()] if lines else body, not lines
-    for line, end in zip(lines, [*(x.start() for x in lines[1:]), len(body)]):
-        part, last = body[line.end() : end], not closed and end == len(body)
-        cut = None if line.group(1) or part.startswith(("\n", "\r\n")) else _HEAD_END.search(part)
-        if cut:
-            for h, b, stops in _leaves(part[: cut.start()], part[cut.end() :], deep - 1):
-                yield h, b, stops and last
-        elif line.group(1) or part.startswith(("\n", "\r\n")):
-            yield "", part, last
+def _leaves(head: str, body: str) -> Iterator[tuple[str, str, bool]]:
+    """Headers and body of every part that is no multipart itself, in order, and whether the message may stop within it."""
+    left = [(head, body, True, True)]
+    while left:
+        head, body, stops, headed = left.pop()
+        m = _BOUNDARY.search(_FOLD.sub(" ", head)) if headed else None
+        if not m:
+            yield head, body, stops
+            continue
+        lines = list(re.finditer(rf"(?m)^--{re.escape(m.group(1))}(--)?[ \t]*\r?(?:\n|\Z)", body))
+        closed = any(x.group(1) for x in lines)
+        parts = [("", body[: lines[0].start()] if lines else body, stops and not lines, False)]
+        for line, end in zip(lines, [*(x.start() for x in lines[1:]), len(body)]):
+            part, last = body[line.end() : end], stops and not closed and end == len(body)
+            bare = line.group(1) or part.startswith(("\n", "\r\n"))
+            cut = None if bare else _HEAD_END.search(part)
+            if cut:
+                parts.append((part[: cut.start()], part[cut.end() :], last, True))
+            elif bare:
+                parts.append(("", part, last, False))
+        left += reversed(parts)
 
 
 def words(text: str) -> list[list[str]]:

@@ -8,7 +8,7 @@ import time
 import pytest
 
 from relgrain.llm.messages import ending, stopped_in_sentence, words
-from relgrain.llm.truncation import cut_ends, length_limits, scan_endings, trie_nodes, truncated, truncation_by_source
+from relgrain.llm.truncation import count_words, cut_ends, judged_endings, last_words, length_limits, scan_endings, trie_nodes, truncated, truncation_by_source
 
 HEAD = "From: Ann <ann@example.org>\nTo: bob@example.org\nSubject: Rota\nMIME-Version: 1.0\n"
 PLAIN = HEAD + "Content-Type: text/plain; charset=utf-8\n\n"
@@ -71,17 +71,31 @@ def test_cuts_are_found_and_whole_messages_not(found):
 
 def test_limit_of_a_source(found, spark):
     df, rows, got = found
-    limits = length_limits(scan_endings(df)[0]).filter("measure = 'chars'").collect()
+    endings = scan_endings(df)
+    lasts = last_words(endings)
+    limits = length_limits(judged_endings(endings, cut_ends(lasts, trie_nodes(count_words(df), lasts)))).filter("measure = 'chars'").collect()
     assert [(x["source"], x["size"]) for x in limits] == [("limited", 600)]
     for i, s, t in rows:
         if s == "limited":
             assert got[i]["truncated"] == (len(t) == 600)
 
 
+def _lasts(spark, *words):
+    return spark.createDataFrame([(w, 1, 1) for w in words], "last string, ends long, sizes long")
+
+
 def test_trie(spark):
-    words = spark.createDataFrame([("depot", 9), ("depots", 3), ("deal", 1), ("the depot", 5)], "word string, n long")
-    nodes = {r["prefix"]: (r["n"], r["below"]) for r in trie_nodes(words).collect()}
-    assert nodes["dep"] == (None, 2) and nodes["depot"] == (9, 1) and nodes["depots"] == (3, 0) and nodes["the de"] == (None, 1) and "the" not in nodes and "dea" not in nodes
+    words = spark.createDataFrame([("depot", 4), ("depots", 3), ("deal", 1), ("the depot", 5), ("depot", 5), ("the dew", 2)], "word string, n long")
+    nodes = {r["prefix"]: (r["n"], r["below"], r["below_n"]) for r in trie_nodes(words, _lasts(spark, "dep", "depot", "depots", "the de", "dea", "xyz")).collect()}
+    assert nodes == {"dep": (None, 2, 12), "depot": (9, 1, 3), "depots": (3, 0, 0), "the de": (None, 1, 5), "dea": (None, 0, 0)}
+    assert trie_nodes(words, _lasts(spark)).count() == 0 and trie_nodes(words.limit(0), _lasts(spark, "dep")).count() == 0
+
+
+def test_words_of_any_length(spark):
+    """Runs of letters without blanks, as some scripts write them, and far longer ones."""
+    long = "東京都港区の倉庫から荷物が届きました" * 8
+    docs = spark.createDataFrame([(i, "a", PLAIN + long + "。 " + "q" * 100_000 + " end.") for i in range(4)] + [(9, "a", PLAIN + long[:100])], "doc_id long, source string, text string")
+    assert len(long) > 64 and [r["doc_id"] for r in truncated(docs).filter("unknown_prefix").collect()] == [9]
 
 
 def test_words_are_those_of_the_decoded_text():
@@ -101,8 +115,8 @@ def test_cut_within_a_declaration():
 
 def test_pieces_are_rarer_than_their_words_and_words_are_not(spark):
     vocabulary = spark.createDataFrame([("nor", 40), ("northern", 20_000), ("the nor", 4), ("the northern", 8_000), ("depot", 2), ("depots", 3), ("in", 900), ("invoice", 9_000)], "word string, n long")
-    ends = spark.createDataFrame([("nor", "the nor"), ("depot", None), ("in", None)], "token string, pair string")
-    assert sorted(r["last"] for r in cut_ends(ends, trie_nodes(vocabulary)).collect() if r["unknown_prefix"]) == ["nor", "the nor"]
+    lasts = _lasts(spark, "nor", "the nor", "depot", "in")
+    assert sorted(r["last"] for r in cut_ends(lasts, trie_nodes(vocabulary, lasts)).collect() if r["unknown_prefix"]) == ["nor", "the nor"]
 
 
 @pytest.mark.parametrize(
@@ -125,9 +139,36 @@ def test_footers_are_learned(spark):
         assert not stopped_in_sentence(SENTENCE + "\n\n" + end)
 
 
+def test_short_limits_are_seen_and_form_letters_are_none(spark):
+    """A gateway that cuts at 80 characters, one at nine lines; and short and long letters that are all of one size."""
+    r = random.Random(8)
+    words = SENTENCE.strip(" .").lower().split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    rows = [(i, "sms", " ".join(say(r.randrange(3, 9)) for _ in range(r.randrange(1, 8)))[:80]) for i in range(120)]
+    rows += [(1000 + i, "lines", "\n".join([PLAIN + say(9), *(" ".join(r.choice(words) for _ in range(9)) for _ in range(r.randrange(1, 12))), "and so on."][: 10]).replace("\n\n", "\n\n", 1)) for i in range(60)]
+    rows += [(2000 + i, "letters", PLAIN + "Your parcel no. 10%02d has come." % i) for i in range(60)] + [(3000 + i, "letters", PLAIN + SENTENCE * 20 + "No. 10%02d." % i) for i in range(60)]
+    got = {x["doc_id"]: x for x in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(got[i]["at_limit"] == (len(t) == 80) for i, s, t in rows if s == "sms") and sum(got[i]["at_limit"] for i in range(120)) > 30
+    assert not any(got[i]["truncated"] for i, s, _ in rows if s == "letters")
+
+
+def test_parts_within_parts_without_end():
+    def nested(deep, text):
+        for i in range(deep):
+            text = f'Content-Type: multipart/mixed; boundary="b{i}"\n\n--b{i}\n{text}\n--b{i}--\n'
+        return "From: Ann <ann@example.org>\n" + text
+
+    leaf = "Content-Type: text/plain\n\n" + SENTENCE
+    whole = nested(40, leaf)
+    assert not told(ending(whole)) and ["The", "driver", "left"] in [x[:3] for x in words(whole)]
+    open_ = whole[: whole.index("nineteen") + 3]
+    assert ending(open_).structure == "multipart" and ending(open_).token == "nin" and words(open_)[-1][-1] == "within"
+
+
 def test_by_source_and_empty_table(found):
     df, rows, got = found
     by = {r["source"]: r for r in truncation_by_source(df).collect()}
+    assert by["limited"]["only_at_limit"] + by["limited"]["only_unknown_prefix"] <= by["limited"]["truncated"] and by["a"]["only_unfinished"] > 0
     assert by["limited"]["documents"] == 40 and by["limited"]["truncated"] == sum(x["truncated"] for x in got.values() if x["source"] == "limited")
     assert truncated(df.limit(0)).count() == 0
 
