@@ -208,8 +208,9 @@ def truncated(documents: DataFrame, known_from: int = 3) -> DataFrame:
     """
     endings = scan_endings(documents)
     lasts = last_words(endings)
-    judged = judged_endings(endings, cut_ends(lasts, trie_nodes(count_words(documents), lasts, known_from)))
-    judged = checkpoint(judged)  # for the limits and again for each text
+    # What tells a cut is used for words and for pairs, the judged endings for the limits and for each text: each made once.
+    cut = checkpoint(cut_ends(lasts, trie_nodes(count_words(documents), lasts, known_from)))
+    judged = checkpoint(judged_endings(endings, cut))
     out = _at(judged, length_limits(judged))
     at = F.col("at").isNotNull() & ~F.col("whole")
     verdict = F.col("unknown_prefix") | at | F.col("structure").isNotNull() | F.col("prose")
