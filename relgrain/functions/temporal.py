@@ -58,11 +58,30 @@ def seconds_since_last(name: str, kind: T.DataType, cut: datetime) -> Column:
     return F.timestamp_diff("SECOND", F.max(t), moment(cut, kind))
 
 
-def gap_seconds(name: str, kind: T.DataType, by: str, ties: Sequence[str] = ()) -> Column:
-    """Seconds since the event before with the same key; looks back only, so it leaks nothing."""
+def with_gaps(rows: DataFrame, history: DataFrame, name: str, kind: T.DataType, by: str, out: str, lookback: timedelta, cut: datetime, bounded: bool = True, ties: Sequence[str] = (), pieces: int = 64) -> DataFrame:
+    """``rows`` with the seconds since the event before with the same key; it looks back only, so it leaks nothing.
+
+    ``rows`` are those of ``history`` in the window (``bounded``) or all of them. An event's predecessor is the one before
+    it in its piece of time, of which a lookback has ``pieces``, or else the latest of the key's earlier pieces; what
+    came before the window is one piece. So the window's bounds still reach the scan of ``rows``, history is read once
+    more for a latest time per key and piece, which is combined before the shuffle, and a key with any share of the
+    rows is spread over its pieces. Rows without time have no gap.
+    """
     t = event_time(name, kind)
-    before = F.lag(t).over(W.partitionBy(F.col(f"`{by}`")).orderBy(t, *[F.col(f"`{x}`") for x in ties]))
-    return F.timestamp_diff("SECOND", before, t)
+    began = moment(cut - lookback, kind)
+    width = max(1, lookback // timedelta(microseconds=1) // pieces)
+    piece = F.floor((micros(t, kind) - micros(began, kind)) / width).cast("bigint")
+    piece = F.when(t <= began, F.lit(-1).cast("bigint")).otherwise(piece) if bounded else piece
+    key = F.col(f"`{by}`")
+    latest = history.filter(t < moment(cut, kind)) if bounded else history.filter(t.isNotNull())
+    latest = latest.groupBy(key.alias("__key"), piece.alias("__in")).agg(F.max(t).alias("__last"))
+    earlier = F.max("__last").over(W.partitionBy("__key").orderBy("__in").rowsBetween(W.unboundedPreceding, -1))
+    latest = latest.select("__key", "__in", earlier.alias("__before")).filter("__before is not null")
+    within = F.lag(t).over(W.partitionBy(key, "__piece").orderBy(t, *[F.col(f"`{x}`") for x in ties]))
+    marked = rows.withColumn("__piece", piece)
+    marked = marked.join(latest, (key == F.col("__key")) & (F.col("__piece") == F.col("__in")), "left").withColumn("__lag", within)
+    gap = F.timestamp_diff("SECOND", F.coalesce("__lag", "__before"), t)
+    return marked.withColumn(out, gap).drop("__piece", "__key", "__in", "__before", "__lag")
 
 
 def clean_times(df: DataFrame, name: str) -> tuple[DataFrame, Column]:

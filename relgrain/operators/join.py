@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,19 @@ def left_join(parent: DataFrame, child: DataFrame, parent_key: str, child_key: s
     return joined if keep_key else joined.drop(child_key)
 
 
-def with_existence(df: DataFrame, others: DataFrame, on: Column, flag: str) -> DataFrame:
-    """Add whether any row of ``others`` meets the condition, which may hold ranges besides equal keys."""
-    left, right = df.alias("l"), others.alias("r")
-    found = left.join(right, on, "left_semi").select("l.*").withColumn(flag, F.lit(True))
-    return found.unionByName(left.join(right, on, "left_anti").select("l.*").withColumn(flag, F.lit(False)))
+def with_existence(df: DataFrame, others: DataFrame, on: str, flag: str) -> DataFrame:
+    """Add whether any row of ``others`` meets the condition, in one existence join.
+
+    ``on`` is a condition over ``l`` (the row) and ``r`` (one of the others), which may hold ranges besides equal keys.
+    The flag is never null.
+    """
+    return df.sparkSession.sql(f"SELECT l.*, EXISTS (SELECT 1 FROM {{others}} r WHERE {on}) AS `{flag}` FROM {{df}} l", df=df, others=others)
+
+
+def where_exists(df: DataFrame, *any_of: tuple[DataFrame, str]) -> DataFrame:
+    """Rows for which a row of any of the given frames meets its condition (as in ``with_existence``); one join each."""
+    tests = [f"EXISTS (SELECT 1 FROM {{o{i}}} r WHERE {on})" for i, (_, on) in enumerate(any_of)]
+    return df.sparkSession.sql(f"SELECT l.* FROM {{df}} l WHERE {' OR '.join(tests)}", df=df, **{f"o{i}": o for i, (o, _) in enumerate(any_of)})
 
 
 def require_unique(df: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -13,10 +14,10 @@ from pyspark.sql import types as T
 from ..functions import temporal
 from ..functions.semantic import is_identifier, semantic_type
 from ..operators.join import left_join, require_unique
-from ..operators.label import label_frame
+from ..operators.label import label_frames
 from ..operators.ops import aggregates, compile_ops
 from ..operators.reduce import Origin, auto_aggregates, label_aggregates, time_features
-from ..session import checkpoint
+from ..session import as_view, checkpoint
 from ..sources.readers import load
 from .spec import Edge, EntityGraph, Hook, LabelSpec, Op, Table
 
@@ -70,17 +71,45 @@ class Plan:
         """The graph as a Mermaid flow chart."""
         names = {t.name: f"t{i}" for i, t in enumerate(self.graph.tables)}
         used = {s.edge for s in self.steps if s.edge}
+        label = lambda text: text.replace('"', "#quot;")
         lines = ["flowchart TD"]
-        lines += [f'  {names[t.name]}["{t.name} ({t.prefix})"]' + (":::target" if t.name == self.graph.target else "") for t in self.graph.tables]
-        lines += [f'  {names[e.child]} {"-->" if e in used else "-.->"}|"{e.child_key} = {e.parent_key}"| {names[e.parent]}' for e in self.graph.edges]
+        lines += [f'  {names[t.name]}["{label(f"{t.name} ({t.prefix})")}"]' + (":::target" if t.name == self.graph.target else "") for t in self.graph.tables]
+        lines += [f'  {names[e.child]} {"-->" if e in used else "-.->"}|"{label(f"{e.child_key} = {e.parent_key}")}"| {names[e.parent]}' for e in self.graph.edges]
         return "\n".join([*lines, "  classDef target stroke-width:3px"])
 
     def html(self) -> str:
-        return f'<html><body><pre class="mermaid">\n{self.mermaid()}\n</pre></body></html>'
-
-    def run(self, spark: SparkSession, frames: Mapping[str, DataFrame] | None = None) -> DataFrame:
-        """The target's rows with features and labels, as one lazy DataFrame. ``frames`` stand in for sources by table name."""
-        return _Run(self, spark, frames or {}).result()
+        """A page that shows the graph by itself: tables in rows by their distance from the target, edges with what
+        they join on, those that are not used dashed, and the steps below."""
+        g, used = self.graph, {s.edge for s in self.steps if s.edge}
+        level = {g.target: 0}
+        for e in (*g.descendants(g.target), *(s.edge for s in self.steps if s.action == "front")):
+            near, far = (e.parent, e.child) if e.child not in level else (e.child, e.parent)
+            level.setdefault(far, level.get(near, 0) + (1 if far == e.child else -1))
+        rows: dict[int, list[str]] = {}
+        for t in g.tables:
+            rows.setdefault(level.get(t.name, max(level.values()) + 1), []).append(t.name)
+        place = {name: (110 + 200 * k, 40 + 110 * i) for i, (_, names) in enumerate(sorted(rows.items())) for k, name in enumerate(names)}
+        parts = []
+        for e in g.edges:
+            (x1, y1), (x2, y2) = place[e.child], place[e.parent]
+            said = html.escape(f"{e.child}.{e.child_key} = {e.parent}.{e.parent_key}")
+            parts.append(f'<line x1="{x1}" y1="{y1}" x2="{x2}" y2="{y2}" stroke="#555"{"" if e in used else " stroke-dasharray=\'6 4\'"}><title>{said}</title></line>')
+            parts.append(f'<text x="{(x1 + x2) // 2}" y="{(y1 + y2) // 2}" font-size="11">{html.escape(f"{e.child_key} = {e.parent_key}")}</text>')
+        for name, (x, y) in place.items():
+            wide = 3 if name == g.target else 1
+            parts.append(f'<rect x="{x - 85}" y="{y - 18}" width="170" height="36" fill="#fff" stroke="#000" stroke-width="{wide}"/>')
+            parts.append(f'<text x="{x}" y="{y + 4}" text-anchor="middle">{html.escape(f"{name} ({g.table(name).prefix})")}</text>')
+        size = f'width="{max(x for x, _ in place.values()) + 110}" height="{max(y for _, y in place.values()) + 40}"'
+        steps = html.escape(self.explain())
+        return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(g.target)}</title></head><body><svg xmlns="http://www.w3.org/2000/svg" {size} font-family="sans-serif" font-size="13">{"".join(parts)}</svg><pre>{steps}</pre></body></html>'
+
+    def run(self, spark: SparkSession, frames: Mapping[str, DataFrame] | None = None, view: str | None = None) -> DataFrame:
+        """The target's rows with features and labels, as one lazy DataFrame. ``frames`` stand in for sources by table name.
+
+        With ``view`` it is also a view of the session, for SQL; ``session.release`` drops it.
+        """
+        df = _Run(self, spark, frames or {}).result()
+        return as_view(df, view) if view else df
 
     def columns(self, spark: SparkSession, schemas: Mapping[str, T.StructType]) -> T.StructType:
         """Names and types of the result for sources of these schemas. No job runs."""
@@ -172,7 +201,10 @@ class _Run:
                 df, ops = compile_ops(df, ops), []
             if isinstance(h, Hook):
                 df = h.fn(df) if h.fn else compile_ops(df, h.ops)
-                df = checkpoint(df) if h.checkpoint else df
+                if h.store:
+                    df = h.store.cut(df, h.name)
+                elif h.checkpoint:
+                    df = checkpoint(df)
             elif h is not None:
                 df = h(df)
         return df
@@ -236,11 +268,11 @@ class _Run:
         df, at, w = frame.df, self._time(t, frame.df), self.graph.window_of(t)
         origins = dict(frame.origins)
         series = policy.enabled and at is not None and self._is_series(t, df, key)
+        df = self._in_window(t, e, df)
         if series and policy.gaps:
             gap = f"{t.prefix}_time_between_records"
-            df = df.withColumn(gap, temporal.gap_seconds(*at, key, (pk,) if pk in df.columns else ()))
+            df = temporal.with_gaps(df, frame.df, *at, key, gap, w.back, w.cut, e.windowed, (pk,) if pk in df.columns else ())
             origins[gap] = Origin("numerical")
-        df = self._in_window(t, e, df)
         custom: list[Column] = []
         for r in t.reduce:
             custom += aggregates([r]) if isinstance(r, Op) else [r()]
@@ -283,13 +315,12 @@ class _Run:
         at, key = self._time(t, rows), self._name(t.name, e.child_key)
         if at and e.windowed:
             rows = rows.filter(temporal.in_label(*at, w.cut, w.ahead))
-        for spec in s.labels:
-            df = label_frame(rows, key, t.prefix, spec, self.graph.policy)
-            new = [f for f in df.schema.fields if f.name != key]
+        for df, specs in label_frames(rows, key, t.prefix, s.labels, self.graph.policy):
             parent.df = left_join(parent.df, df, self._name(e.parent, e.parent_key), key)
-            if spec.fill is not None:
-                parent.df = parent.df.fillna(spec.fill, [f.name for f in new])
-            parent.origins |= {f.name: Origin(semantic_type(f.dataType), None, True, spec.propagate) for f in new}
+            for spec, new in specs:
+                if spec.fill is not None:
+                    parent.df = parent.df.fillna(spec.fill, new)
+                parent.origins |= {c: Origin(semantic_type(df.schema[c].dataType), None, True, spec.propagate) for c in new}
 
     def _reduce_after_join(self, s: Step) -> None:
         t, frame = self.graph.table(s.table), self.frames[s.table]

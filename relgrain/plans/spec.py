@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.period import period
 from ..functions.semantic import FUNCTIONS
+from ..sources.store import Store
 
 KEYWORDS = {"select": "select", "where": "where", "key": "group by", "agg": "", "having": "having", "order": "order by", "window": "", "custom": ""}
 
@@ -32,16 +33,23 @@ class Op:
 
 @dataclass(frozen=True)
 class Hook:
-    """A step of the user's own: a function of a DataFrame, or ops. It waits until all of ``requires`` are joined in."""
+    """A step of the user's own: a function of a DataFrame, or ops. It waits until all of ``requires`` are joined in.
+
+    With ``checkpoint`` or a ``store`` the lineage is cut behind it.
+    """
 
     fn: Callable[[DataFrame], DataFrame] | None = None
     ops: tuple[Op, ...] = ()
     requires: tuple[str, ...] = ()
     checkpoint: bool = False
+    store: Store | None = None  #: where its result is kept, as ``name``, and read from again
+    name: str | None = None
 
     def __post_init__(self) -> None:
         if (self.fn is None) == (not self.ops):
             raise ValueError("a hook has either a function or ops")
+        if (self.store is None) != (self.name is None):
+            raise ValueError("a hook's result is kept in a store under a name")
 
 
 @dataclass(frozen=True)
@@ -214,6 +222,16 @@ class EntityGraph:
     def parents(self, name: str) -> tuple[Edge, ...]:
         return tuple(dict.fromkeys(e for e in self.edges if e.child == name))
 
+    def descendants(self, name: str) -> tuple[Edge, ...]:
+        """All edges below a table, in the order in which they are met; each once, however many ways lead to it."""
+        out, left = {}, [name]
+        while left:
+            for e in self.children(left.pop()):
+                if e not in out:
+                    out[e] = None
+                    left.append(e.child)
+        return tuple(out)
+
     def levels_up(self, start: str) -> list[list[str]]:
         """Tables above ``start`` level by level, farthest first."""
         levels, seen, now = [], {start}, [start]

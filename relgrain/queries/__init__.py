@@ -1,6 +1,6 @@
 """Registered queries, by module: ``QUERIES`` and ``SQL`` of each."""
 
-from . import data, features
+from . import data, engine, features
 
-MODULES = [data, features]
+MODULES = [data, features, engine]
 FLAGSHIP = "pit_orders_per_customer"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import in_features, in_label
-from ..operators.join import with_existence
+from ..operators.join import where_exists, with_existence
 from ..operators.ops import compile_ops
 from ..plans import Edge, EntityGraph, FeaturePolicy, Hook, LabelSpec, Op, Source, Table, Window, plan
 from ..plans.spec import OFF
@@ -342,11 +342,6 @@ def empty_window_yields_nulls(spark, folder):
     return run(spark, (customer(folder), orders(folder, reduce=(Op("agg", "count(*) as o_n"),))), (CO,), window=Window(datetime(1990, 1, 1)))
 
 
-@query(_auto_sql("approx_count_distinct(o_orderpriority) > 0 AS some"), name="approx_policies")
-def _approx_flag(spark, folder):
-    return approx_values(spark, folder).select("c_custkey", (F.col("o_orderpriority_nunique") > 0).alias("some"))
-
-
 @query()
 def approx_values(spark, folder):
     """The approximate median and distinct count themselves, which SQL can't say exactly: a test holds them to exact ones."""
@@ -430,6 +425,7 @@ def _domain(folder: str, names: tuple[str, ...], cut_counts: bool = True):
         "orders": Table("orders", _once(folder, "cust_orders", ("customer_id", "amount")), "or", "id", "loaded_at", reduce=count("or")),
         "products": Table("products", _once(folder, "order_products", ("order_id", "product_id")), "op", "id", "loaded_at", reduce=count("op")),
         "notifications": Table("notifications", _once(folder, "notifications", ("customer_id",)), "no", "id", "loaded_at", reduce=count("no")),
+        "types": Table("types", Source(path=f"{folder}/notification_interaction_types.parquet"), "ty", "id", reduce=(Op("agg", "count(ty_name) as ty_n"),)),
         "interactions": Table("interactions", _once(folder, "notification_interactions", ("notification_id", "interaction_type_id", "ts")), "ni", "id", "loaded_at", reduce=count("ni")),
     }
     edges = {
@@ -437,6 +433,7 @@ def _domain(folder: str, names: tuple[str, ...], cut_counts: bool = True):
         "products": Edge("orders", "products", "id", "order_id"),
         "notifications": Edge("cust", "notifications", "id", "customer_id"),
         "interactions": Edge("notifications", "interactions", "id", "notification_id"),
+        "types": Edge("interactions", "types", "interaction_type_id", "id"),
     }
     return (Table("cust", _once(folder, "cust", (), False), "cu", "id"), *(every[n] for n in names)), tuple(edges[n] for n in names)
 
@@ -500,25 +497,24 @@ def cohort_exists(spark, folder):
 
 @query(f"SELECT c_custkey FROM customer WHERE {_PAST} OR EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 1)")
 def cohort_exists_or(spark, folder):
-    for n in ("customer", "orders", "nation"):
-        spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(f"coh_{n}")
-    return spark.sql("""SELECT c_custkey FROM coh_customer WHERE EXISTS (SELECT 1 FROM coh_orders WHERE o_custkey = c_custkey AND o_orderdate < timestamp_ntz '1996-01-01')
-      OR EXISTS (SELECT 1 FROM coh_nation WHERE n_nationkey = c_nationkey AND n_regionkey = 1)""")
+    c, o = _tables(spark, folder)
+    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    early = "r.o_custkey = l.c_custkey AND r.o_orderdate < timestamp_ntz '1996-01-01'"
+    return where_exists(c.select("c_custkey", "c_nationkey"), (o, early), (nation, "r.n_nationkey = l.c_nationkey AND r.n_regionkey = 1")).select("c_custkey")
 
 
 @query(f"SELECT c_custkey, {_PAST} AS early FROM customer")
 def flag_exists(spark, folder):
     c, o = _tables(spark, folder)
-    old = o.filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    return with_existence(c.select("c_custkey"), old.select("o_custkey"), F.col("l.c_custkey") == F.col("r.o_custkey"), "early")
+    return with_existence(c.select("c_custkey"), o, "r.o_custkey = l.c_custkey AND r.o_orderdate < timestamp_ntz '1996-01-01'", "early")
 
 
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate <= o_orderdate + INTERVAL 7 DAY) AS quick FROM orders")
 def existence_range_condition(spark, folder):
     _, o = _tables(spark, folder)
-    l = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_shipdate")
-    on = (F.col("l.o_orderkey") == F.col("r.l_orderkey")) & (F.col("r.l_shipdate") <= F.col("l.o_orderdate") + F.expr("INTERVAL 7 DAYS"))
-    return with_existence(o.select("o_orderkey", "o_orderdate"), l, on, "quick").drop("o_orderdate")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    on = "r.l_orderkey = l.o_orderkey AND r.l_shipdate <= l.o_orderdate + INTERVAL 7 DAYS"
+    return with_existence(o.select("o_orderkey", "o_orderdate"), lines, on, "quick").drop("o_orderdate")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(coalesce(p_retailprice, l_extendedprice) AS DECIMAL(18,2)) AS amount FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON p_partkey = l_partkey")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +21,54 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="relgrain-checkpoint-"))
+        sc.setCheckpointDir(configured or _own_folder())
     return df.checkpoint(eager)
 
 
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="relgrain-checkpoint-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+#: Views and folders that ``release`` removes, by application.
+_held: dict[str, tuple[set[str], set[str]]] = {}
+
+
+def _holds(spark: SparkSession) -> tuple[set[str], set[str]]:
+    return _held.setdefault(spark.sparkContext.applicationId, (set(), set()))
+
+
+def as_view(df: DataFrame, name: str) -> DataFrame:
+    """A view of the session over ``df``, replaced where there is one; gives ``df`` back."""
+    df.createOrReplaceTempView(name)
+    _holds(df.sparkSession)[0].add(name)
+    return df
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder, in that of checkpoints, which all executors share."""
+    sc = spark.sparkContext
+    checkpoint(spark.range(0))  # sees to it that there is one
+    folder = f"{sc.getCheckpointDir()}/relgrain-{uuid.uuid4().hex}"
+    _holds(spark)[1].add(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the views and delete the folders made so far. What was made of them can't be read afterwards.
+
+    Checkpoints are Spark's own: ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` deletes each when nothing
+    refers to it any more.
+    """
+    views, folders = _held.pop(spark.sparkContext.applicationId, (set(), set()))
+    for name in views:
+        spark.catalog.dropTempView(name)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, which is checked; else ``df`` as it is.
 

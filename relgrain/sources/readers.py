@@ -8,6 +8,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import as_view
+
 if TYPE_CHECKING:
     from ..plans.spec import Source, Table
 
@@ -31,7 +33,16 @@ def read(spark: SparkSession, source: Source) -> DataFrame:
     reader = spark.read.format("csv" if source.format == "tsv" else source.format).options(**options)
     if source.schema:
         reader = reader.schema(source.schema)
-    return reader.load() if source.format == "jdbc" else reader.load(source.path)
+    df = reader.load() if source.format == "jdbc" else reader.load(source.path)
+    if str(options.get("mode", "")).upper() == "DROPMALFORMED" and df.columns:
+        # Spark parses only the columns that a query reads, so what is a bad row would depend on the query: read them all.
+        df = df.filter(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).bitwiseOR(F.lit(1)) != 0)
+    return df
+
+
+def files_view(spark: SparkSession, name: str, source: Source) -> DataFrame:
+    """A view of the session over files, for SQL; with ``mode=DROPMALFORMED`` among the options it skips bad rows."""
+    return as_view(read(spark, source), name)
 
 
 def load(spark: SparkSession, table: Table, df: DataFrame | None = None) -> DataFrame:

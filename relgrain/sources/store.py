@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,23 @@ class Store:
         return self.read(df.sparkSession, name, df.schema if self.format in ("csv", "tsv", "json") else None)
 
 
-def replace_table(df: DataFrame, name: str, format: str = "parquet") -> DataFrame:
-    """Write a table of the session's catalog in place of the one there; the old one stays until the new one is whole."""
-    spark, new = df.sparkSession, f"{name}__new"
-    df.write.mode("overwrite").format(format).saveAsTable(new)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+def replace_table(df: DataFrame, name: str, format: str = "parquet", root: str | None = None, keep: int = 1) -> DataFrame:
+    """Give a name of the session's catalog new rows, without a moment at which it names nothing.
+
+    Each version is written to a folder of its own under ``root`` (default: the warehouse). Then the name, a permanent
+    view over the folder, is replaced, which the catalog does in one step: readers get the old rows whole or the new
+    ones whole, and after a crash the name still has the old ones. Of the versions before, ``keep`` stay, for readers
+    that are still at them. A name that is a table already is an error.
+    """
+    spark = df.sparkSession
+    base = f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}.versions"
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        raise ValueError(f"{name} is a table; only names made by this function can be replaced")
+    path = f"{base}/{time.time_ns():020d}"
+    df.write.format(format).save(path)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {format}.`{path}`")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in sorted(str(x.getPath()) for x in files.listStatus(folder))[: -1 - keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
     return spark.table(name)

@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 from relgrain import cli
 from relgrain.functions.period import period
 from relgrain.functions.semantic import is_identifier, semantic_type
-from relgrain.functions.temporal import clean_times
-from relgrain.operators.join import left_join, require_unique
+from relgrain.functions.temporal import clean_times, in_features, with_gaps
+from relgrain.operators.join import left_join, require_unique, where_exists, with_existence
 from relgrain.operators.ops import compile_ops
 from relgrain.plans import Edge, EntityGraph, FeaturePolicy, Hook, LabelSpec, Op, Source, Table, Window, plan
-from relgrain.sources.readers import load, pick, read, sample
+from relgrain.session import as_view, release, work_folder
+from relgrain.sources.readers import files_view, load, pick, read, sample
 from relgrain.sources.store import Store, replace_table
 from relgrain.streaming.lookbacks import streaming_counts
 
@@ -301,3 +302,122 @@ def test_approximate_aggregates_are_near_exact_ones(spark):
         # percentile_approx gives one of the values, here the lower middle one; distinct counts are within 15 % (three standard errors).
         assert x["o_totalprice_median"] == pytest.approx(prices[(len(prices) - 1) // 2])
         assert abs(x["o_orderpriority_nunique"] - r["o_kinds"]) <= 0.15 * r["o_kinds"]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("bounded", "pieces"), [(True, 64), (True, 3), (False, 7)])
+def test_gaps_are_those_to_the_event_before(spark, bounded, pieces):
+    """Over the whole history, across the window's begin and the pieces' borders, whatever share a key has."""
+    r = random.Random(pieces)
+    rows = [(i, r.choice([1] * 9 + [2, 3, None]), r.choice([None, *[datetime(2022, 1, 1) + timedelta(hours=r.randrange(16_000)) for _ in range(20)]])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz").repartition(5)
+    kind, back = T.TimestampNTZType(), timedelta(days=200)
+    inside = df.filter(in_features("ts", kind, CUT, back)) if bounded else df
+    got = {x["id"]: x["gap"] for x in with_gaps(inside, df, "ts", kind, "k", "gap", back, CUT, bounded, ("id",), pieces).collect()}
+    expected = {}
+    for k in (1, 2, 3):
+        before = None
+        for i, _, t in sorted((x for x in rows if x[1] == k and x[2] is not None), key=lambda x: (x[2], x[0])):
+            expected[i] = None if before is None else int((t - before).total_seconds())
+            before = t
+    kept = {i for i, _, t in rows if not bounded or t is None or CUT - back < t < CUT}
+    assert set(got) == kept
+    assert {i: g for i, g in got.items() if i in expected} == {i: g for i, g in expected.items() if i in kept}
+    assert all(g is None for i, g in got.items() if rows[i][2] is None)
+
+
+def test_gaps_read_only_the_window_row_by_row(spark, tmp_path, frames):
+    frames["orders"].write.parquet(str(tmp_path / "orders"))
+    o = Table("orders", Source(path=str(tmp_path / "orders")), "o", "id", "ts")
+    g = replace(graph(policy=FeaturePolicy(gaps=True)), tables=(graph().tables[0], o, *graph().tables[2:]))
+    text = plan(g).run(spark, {k: v for k, v in frames.items() if k != "orders"})._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in text.split("\n") if "FileScan parquet" in x]
+    assert len(scans) == 2 and all("LessThan(ts" in x for x in scans) and sum("GreaterThan(ts" in x for x in scans) == 1
+
+
+def test_existence_is_one_join(spark, frames):
+    c, o = frames["cust"], frames["orders"]
+    flagged = with_existence(c, o, "r.customer_id = l.id AND r.amount > l.id * 100", "big")
+    assert {x["id"]: x["big"] for x in flagged.collect()} == {1: True, 2: True, 3: False, 4: False}
+    assert plan_text(flagged).count("Join ExistenceJoin") == 1 and plan_text(flagged).count("LogicalRDD") == 2
+    some = where_exists(c, (o, "r.customer_id = l.id AND r.amount > 900"), (c, "r.id = l.id + 1 AND r.name = 'name 4'"))
+    assert sorted(x["id"] for x in some.collect()) == [1, 2, 3] and with_existence(c, o.limit(0), "r.id = l.id", "x").filter("x").count() == 0
+
+
+def test_labels_of_a_table_are_one_aggregation(spark, frames):
+    labels = (LabelSpec("orders", "sum", "amount", fill=0), LabelSpec("orders", "count", "id"), LabelSpec("orders", (Op("agg", "max(case when o_amount > 100 then 1 else 0 end) as o_big_label"),), fill=0))
+    df = plan(graph(labels=labels)).run(spark, frames)
+    one = plan(graph(labels=labels[:1])).run(spark, frames)
+    assert plan_text(df).count("Join LeftOuter") == plan_text(one).count("Join LeftOuter")
+    got = by_id(df)
+    assert (got[1]["o_amount_label"], got[1]["o_id_label"], got[1]["o_big_label"]) == (1200, 1, 1) and (got[3]["o_amount_label"], got[3]["o_big_label"]) == (5, 0)
+    assert (got[4]["o_amount_label"], got[4]["o_id_label"], got[4]["o_big_label"]) == (0, None, 0)
+    more = plan(graph(labels=(*labels, LabelSpec("orders", (Op("where", "o_amount > 100"), Op("agg", "count(*) as o_n_label")))))).run(spark, frames)
+    assert by_id(more)[1]["o_n_label"] == 1 and by_id(more)[3]["o_n_label"] is None
+    with pytest.raises(ValueError, match="two labels"):
+        plan(graph(labels=(labels[0], LabelSpec("orders", "max", "amount")))).run(spark, frames)
+
+
+def test_results_as_views_and_their_release(spark, frames, tmp_path):
+    df = plan(graph()).run(spark, frames, view="features_of_customers")
+    assert spark.sql("select count(*) from features_of_customers").first()[0] == df.count()
+    folder = work_folder(spark)
+    Store(folder).write(spark.range(3), "three")
+    (tmp_path / "a.csv").write_text("a,b\n1,2\nx,3\n", encoding="utf-8")
+    assert files_view(spark, "some_files", Source(path=str(tmp_path / "a.csv"), format="csv", schema="a int, b int", options={"mode": "DROPMALFORMED"})).count() == 1
+    as_view(spark.range(2), "two")
+    release(spark)
+    assert not any(spark.catalog.tableExists(n) for n in ("features_of_customers", "some_files", "two"))
+    with pytest.raises(Exception, match="(?i)path does not exist"):
+        spark.read.parquet(f"{folder}/three")
+    release(spark)
+
+
+def test_hooks_keep_their_result_in_a_store(spark, frames, tmp_path):
+    store = Store(str(tmp_path), "local")
+    kept = Hook(fn=lambda df: df.withColumn("o_twice", F.col("o_amount") * 2), store=store, name="orders_hooked")
+    tables = graph().tables
+    df = plan(replace(graph(), tables=(tables[0], replace(tables[1], annotate=(kept,)), *tables[2:]))).run(spark, frames)
+    assert store.read(spark, "orders_hooked").count() == len(ORDERS) and "o_twice_sum" in df.columns and "orders_hooked" in str(df.inputFiles())
+    with pytest.raises(ValueError, match="under a name"):
+        Hook(fn=lambda df: df, store=store)
+
+
+def test_a_replaced_table_is_never_missing(spark, tmp_path):
+    root = str(tmp_path)
+    for n in range(1, 5):
+        before = spark.table("swapped") if n > 1 else None
+        assert replace_table(spark.range(n).toDF(f"a{n % 2}"), "swapped", root=root).count() == n
+        if before is not None:
+            assert before.count() == n - 1  # who reads the old version goes on reading it
+    assert len(os.listdir(tmp_path / "swapped.versions")) == 2
+    spark.range(1).write.saveAsTable("a_table")
+    with pytest.raises(ValueError, match="is a table"):
+        replace_table(spark.range(1), "a_table", root=root)
+    spark.sql("drop view swapped")
+    spark.sql("drop table a_table")
+
+
+def test_the_page_shows_the_graph_and_escapes(spark, frames):
+    g = graph()
+    odd = replace(g, tables=(g.tables[0], replace(g.tables[1], name='or<d>"ers'), *g.tables[2:]), edges=tuple(replace(e, child=e.child.replace("orders", 'or<d>"ers'), parent=e.parent.replace("orders", 'or<d>"ers')) for e in g.edges))
+    page = plan(odd).html()
+    assert page.count("<rect") == len(g.tables) and page.count("<line") == len(g.edges) and "or<d>" not in page and "or&lt;d&gt;&quot;ers" in page
+    assert '"or<d>"ers' not in plan(odd).mermaid() and "#quot;" in plan(odd).mermaid()
+    assert [e.child for e in g.descendants("cust")][0] == "orders" and g.descendants("lines") == ()
+
+
+def test_jdbc(spark):
+    """Another database, here the one that comes with Spark's jars, within the JVM."""
+    url = "jdbc:derby:memory:relgrain;create=true"
+    jdbc = {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        spark._jvm.java.lang.Class.forName(jdbc["driver"])
+    except Exception:
+        pytest.skip("no database in Spark's jars")
+    spark.range(5).selectExpr("id", "id * 2 as twice").write.format("jdbc").options(**jdbc, dbtable="numbers").save()
+    got = load(spark, Table("n", Source(path="", format="jdbc", options={**jdbc, "dbtable": "numbers"}), "n", "id"))
+    assert sorted(map(tuple, got.collect())) == [(i, 2 * i) for i in range(5)] and got.columns == ["n_id", "n_twice"]
