@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import checkpoint, shuffle_partitions
 
 _NEVER = np.iinfo(np.int64).min
 #: Entities times types that a block decodes at once, at five numbers each: 160 MB.
@@ -226,6 +226,7 @@ def entity_features(
     events = events.filter(F.col("entity").isNotNull() & F.col("type").isNotNull() & (F.col("at") < cut_us))
     entities = entities.select(F.col(entity).cast("bigint").alias("entity")).filter("entity is not null").distinct()
     known = types.select(F.col(types.columns[0]).cast("bigint").alias("type")).filter("type is not null").distinct()
+    known = checkpoint(known)  # a row a type; all events may have been read for it
     n_types = known.count()
     spans = max(1, -(-n_types // max_types))
     starts = sorted(set(known.agg(F.percentile_approx("type", [k / spans for k in range(1, spans)], 100_000)).first()[0])) if spans > 1 else []

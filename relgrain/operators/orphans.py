@@ -21,14 +21,11 @@ class Reference:
     """Child records that name a parent. ``children``: row_id, key, at, gone; ``parents``: key, at, gone.
 
     One row a record; for ``orphan_rows`` children may come in copies (``copies``), of which the earliest stands.
-    ``size`` is how many rows ``children`` has at most, such as the stored ones, which Parquet tells from its footers;
-    without it they are counted.
     """
 
     table: str
     children: DataFrame
     parents: DataFrame
-    size: int | None = None
     copies: bool = False
 
 
@@ -127,7 +124,9 @@ def orphan_rows(references: Sequence[Reference], hot_share: float = 1 / 256) ->
     function is called, since hot keys, sieve and join each need them.
     """
     doubtful = checkpoint(reduce(DataFrame.unionByName, [_doubtful(r).withColumn("place", F.lit(i)) for i, r in enumerate(references)]))
-    parts = [_orphans_of(r, doubtful.filter(F.col("place") == i), hot_share) for i, r in enumerate(references)]
+    sizes = reduce(DataFrame.unionByName, [r.children.agg(F.lit(i).alias("place"), F.count("*").alias("n")) for i, r in enumerate(references)])
+    least = {place: max(1, int(n * hot_share)) for place, n in sizes.collect()}  # a number a reference
+    parts = [_orphans_of(r, doubtful.filter(F.col("place") == i), least[i]) for i, r in enumerate(references)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -142,8 +141,7 @@ def _doubtful(r: Reference) -> DataFrame:
     return state.filter(F.coalesce(doubtful, F.lit(True))).select("key", "rows", "changes")
 
 
-def _orphans_of(r: Reference, state: DataFrame, hot_share: float) -> DataFrame:
-    least = max(1, int((r.children.count() if r.size is None else r.size) * hot_share))
+def _orphans_of(r: Reference, state: DataFrame, least: int) -> DataFrame:
     hot = F.broadcast(state.filter(F.col("rows") >= least).select("key", F.col("changes").alias("hot")))
     cold = state.filter(F.col("rows") < least).select("key", F.col("changes").alias("cold"), F.lit(0).alias("salt"))
     children = r.children.filter(F.col("key").isNotNull()).select("row_id", "key", "at").join(hot, "key", "left")

@@ -117,7 +117,7 @@ def references(spark: SparkSession, folder: str, copies: bool = False) -> list[R
         return stored.agg(F.min("loaded_at").alias("at"), F.max("deleted_at").alias("gone"))
 
     orders, notes, customers = parent("cust_orders"), parent("notifications"), parent("cust")
-    return [Reference(c[0], child(*c), p, table(spark, folder, c[0]).count(), copies) for c, p in zip(children, (orders, notes, customers, customers))]
+    return [Reference(c[0], child(*c), p, copies) for c, p in zip(children, (orders, notes, customers, customers))]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

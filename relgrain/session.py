@@ -69,12 +69,19 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _few(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """The rows themselves, if there are at most ``max_rows``. At most one more is read."""
+    rows = df.limit(max_rows + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= max_rows else None
+
+
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, which is checked; else ``df`` as it is.
+    """``df`` for broadcast if it has at most ``max_rows`` rows, which is checked; else ``df`` as it is.
 
-    For tables documented as small and fixed. The check reads at most ``max_rows + 1`` rows.
+    For tables documented as small and fixed. What makes ``df`` runs once, as this function is called.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    few = _few(df, max_rows)
+    return df if few is None else F.broadcast(few)
 
 
 def looked_up(df: DataFrame, table: DataFrame, key: str, how: str = "inner", spread: str | None = None, salts: int = 64) -> DataFrame:
@@ -84,8 +91,9 @@ def looked_up(df: DataFrame, table: DataFrame, key: str, how: str = "inner", spr
     A table of a checked size is broadcast. A larger one is joined by key and a salt made of ``spread`` (a column of
     ``df``), so that no key gathers in one task; the table is repeated ``salts`` times for it. The result is the same.
     """
-    if table.limit(10_001).count() <= 10_000:
-        return df.join(F.broadcast(table), key, how)
+    few = _few(table, 10_000)
+    if few is not None:
+        return df.join(F.broadcast(few), key, how)
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(spread) if spread else F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     return df.withColumn("__salt", salt).join(salted, [key, "__salt"], how).drop("__salt")
