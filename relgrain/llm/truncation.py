@@ -105,8 +105,7 @@ def trie_nodes(counted: DataFrame, lasts: DataFrame, known_from: int = 3) -> Dat
     words = sifted(prefixes, sieve(lasts, "last"), "prefix").groupBy("prefix", "word").agg(F.sum("n").alias("n"))
     whole = F.col("prefix") == F.col("word")
     known = ~whole & (F.col("n") >= known_from)
-    nodes = words.groupBy("prefix").agg(F.max(F.when(whole, F.col("n"))).alias("n"), F.count_if(known).alias("below"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("below_n"))
-    return nodes.join(lasts.select(F.col("last").alias("prefix")), "prefix", "left_semi")
+    return words.groupBy("prefix").agg(F.max(F.when(whole, F.col("n"))).alias("n"), F.count_if(known).alias("below"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("below_n"))
 
 
 def cut_ends(lasts: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02, pieces_at_most: float = 0.005, closes_from: int = 10, closes_at_least: float = 0.1) -> DataFrame:
