@@ -131,6 +131,8 @@ def _partials(rows: int, starts: np.ndarray):
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             block, entity, kind, n, at, total = _presum(*(t.column(c).to_numpy() for c in ("block", "entity", "type", "n", "at", "total")))
+            if min(n.min(), total.min()) < 0:
+                raise ValueError("events have a negative number or total")
             span = np.searchsorted(starts, kind, side="right")  # ascending with the types of a block
             cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (span[1:] != span[:-1])]))
             out = [(int(block[s]), int(span[s]), *_encode(entity[s:e], kind[s:e], n[s:e], at[s:e], total[s:e])) for s, e in zip(cuts, [*cuts[1:], len(block)])]
@@ -203,7 +205,8 @@ def entity_features(
 ) -> DataFrame:
     """One row per entity: ``n_events, n_types`` and, aligned to ``types``, the arrays ``counts, recency_s, totals``.
 
-    ``events``: entity (bigint), type (bigint), n, at (microseconds), total, each a bigint; n and total not negative.
+    ``events``: entity (bigint), type (bigint), n, at (microseconds), total, each a bigint; n and total not negative,
+    which is checked.
     They may be combined already, n being how many events a row stands for. Events at or after the cut, or without
     time, entity or type, are not features and are left out. ``entities`` and ``types`` have the ids that get a row and
     a place on the axis; events of an entity that ``entities`` lacks are left out, those of a type that ``types`` lacks

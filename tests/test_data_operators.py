@@ -202,6 +202,13 @@ def test_entity_features(spark):
         b.entity_features(df, who, types.filter("id < 20"), "customer_id", 2_000_000).collect()
 
 
+def test_negative_totals_are_refused(spark):
+    df = spark.createDataFrame([(1, 10, 1, 5, -7)], "entity long, type long, n long, at long, total long")
+    who, types = spark.createDataFrame([(1,)], "customer_id long"), spark.createDataFrame([(10,)], "id long")
+    with pytest.raises(Exception, match="a negative number or total"):
+        b.entity_features(df, who, types, "customer_id", 9).collect()
+
+
 def test_more_types_than_a_task_holds(spark):
     events = spark.range(60_000).selectExpr("id % 30 as entity", "(id * 7) % 25000 as type", "1L as n", "id as at", "2L as total").repartition(5)
     who, types = spark.range(31).withColumnRenamed("id", "customer_id"), spark.range(25_000)
