@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, shuffle_partitions, small
+from ..session import checkpoint, looked_up, shuffle_partitions
 from .exact import number_kind
 
 _LOW = (1 << 32) - 1
@@ -274,10 +274,10 @@ def per_key_results(
 def heavy_keys(df: DataFrame, group: str, key: str, share: float, chunk_rows: int = 100_000) -> DataFrame:
     """Keys that are not null and hold at least ``share`` of their group's rows, rows with a null key counted.
 
-    The groups' totals are counted from the group column alone; there are few groups, which is checked before they are
-    broadcast.
+    Rows without a group belong to none. The groups' totals are counted from the group column alone and looked up by
+    ``session.looked_up``: broadcast if the groups are few, joined with a salt else.
     """
     per_key = per_key_results(df.select(group, key), [group, key], chunk_rows=chunk_rows)
-    totals = small(df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("total")))
-    joined = per_key.join(totals, F.col(group).eqNullSafe(F.col("__group")))
+    totals = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("total"))
+    joined = looked_up(per_key, totals, group, spread=key)
     return joined.filter(F.col(key).isNotNull() & (F.col("n") >= F.col("total") * F.lit(Decimal(str(share))))).select(group, key, "n", "total")

@@ -12,7 +12,7 @@ from ..operators.bitsliced import entity_features
 from ..operators.orphans import Reference, current_orphans, orphan_rows
 from ..operators.rolling import rolling_totals
 from ..operators.skew import heavy_keys, per_key_results
-from ..session import small
+from ..session import looked_up
 from ..sources.records import records, table
 
 CUT = dt.datetime(2024, 4, 1, tzinfo=dt.UTC)
@@ -22,13 +22,13 @@ END_US = int(dt.datetime(2024, 7, 1, tzinfo=dt.UTC).timestamp()) * 1_000_000
 
 
 def systems(spark: SparkSession, folder: str) -> DataFrame:
-    """``source_system, time_zone, date_order``, one row a system; a small, fixed table, which is checked."""
+    """``source_system, time_zone, date_order``, one row a system."""
     df = table(spark, folder, "source_systems").filter(F.col("source_system").isNotNull())
-    return small(df.groupBy("source_system").agg(F.max("time_zone").alias("time_zone"), F.max("date_order").alias("date_order")))
+    return df.groupBy("source_system").agg(F.max("time_zone").alias("time_zone"), F.max("date_order").alias("date_order"))
 
 
 def with_instants(spark: SparkSession, folder: str, df: DataFrame, text: str) -> DataFrame:
-    return normalize_instants(df.join(systems(spark, folder), "source_system", "left"), text, "time_zone", "date_order")
+    return normalize_instants(looked_up(df, systems(spark, folder), "source_system", "left"), text, "time_zone", "date_order")
 
 
 # --- p1 ---------------------------------------------------------------------------------------------------------------
@@ -177,6 +177,20 @@ _REFS = """
 _UNION = """(SELECT 'cust_orders' AS table_name, customer_id, loaded_at, amount FROM cust_orders
   UNION ALL SELECT 'notifications', customer_id, loaded_at, NULL FROM notifications)"""
 
+
+
+def _features_sql(cut_us: int, counted: str) -> str:
+    return f"""WITH d AS (SELECT id, any_value(notification_id) AS nid, any_value(interaction_type_id) AS type, any_value(ts) AS ts, min(loaded_at) AS loaded_at FROM notification_interactions GROUP BY id),
+  n AS (SELECT id AS nid, any_value(customer_id) AS customer_id FROM notifications GROUP BY id),
+  e AS (SELECT customer_id, type, count(*) AS n, max(epoch_us(ts)) AS seen_us, CAST(coalesce(sum(greatest(0, epoch_us(loaded_at) - epoch_us(ts)) // 60000000) FILTER (WHERE ts IS NOT NULL), 0) AS BIGINT) AS total
+    FROM d JOIN n USING (nid) WHERE type IS NOT NULL AND customer_id IS NOT NULL AND {counted} GROUP BY customer_id, type),
+  axis AS (SELECT id AS type FROM notification_interaction_types WHERE id IS NOT NULL UNION SELECT type FROM d WHERE type IS NOT NULL),
+  who AS (SELECT DISTINCT customer_id FROM notifications WHERE customer_id IS NOT NULL)
+  SELECT customer_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_events, count(n) AS n_types, list(type ORDER BY type) AS types, list(coalesce(n, 0) ORDER BY type) AS counts,
+    list(({cut_us} - seen_us) // 1000000 ORDER BY type) AS recency_s, list(coalesce(total, 0) ORDER BY type) AS totals
+  FROM who CROSS JOIN axis LEFT JOIN e USING (customer_id, type) GROUP BY customer_id"""
+
+
 SQL = {
     "p2_found": f"""SELECT table_name, customer_id FROM (
   SELECT table_name, customer_id, n, sum(n) OVER (PARTITION BY table_name) AS total FROM (SELECT table_name, customer_id, count(*) AS n FROM {_UNION} GROUP BY table_name, customer_id))
@@ -184,15 +198,8 @@ SQL = {
     "p2_per_customer": f"""WITH r AS (SELECT *, epoch_us(loaded_at) AS o, epoch_us(loaded_at) - lag(epoch_us(loaded_at)) OVER (PARTITION BY table_name, customer_id ORDER BY loaded_at NULLS FIRST) AS gap FROM {_UNION} WHERE customer_id IS NOT NULL)
   SELECT table_name, customer_id, count(*) AS n, count(amount) AS n_value, CAST(sum(amount) AS DECIMAL(38,0)) AS sum_value, min(amount) AS min_value, max(amount) AS max_value,
     min(o) AS first_order, max(o) AS last_order, max(gap) AS max_gap FROM r GROUP BY table_name, customer_id""",
-    "p3_features": f"""WITH d AS (SELECT id, any_value(notification_id) AS nid, any_value(interaction_type_id) AS type, any_value(ts) AS ts, min(loaded_at) AS loaded_at FROM notification_interactions GROUP BY id),
-  n AS (SELECT id AS nid, any_value(customer_id) AS customer_id FROM notifications GROUP BY id),
-  e AS (SELECT customer_id, type, count(*) AS n, max(epoch_us(ts)) AS seen_us, CAST(sum(greatest(0, epoch_us(loaded_at) - epoch_us(ts)) // 60000000) AS BIGINT) AS total
-    FROM d JOIN n USING (nid) WHERE type IS NOT NULL AND customer_id IS NOT NULL AND epoch_us(ts) < {CUT_US} GROUP BY customer_id, type),
-  axis AS (SELECT id AS type FROM notification_interaction_types WHERE id IS NOT NULL UNION SELECT type FROM d WHERE type IS NOT NULL),
-  who AS (SELECT DISTINCT customer_id FROM notifications WHERE customer_id IS NOT NULL)
-  SELECT customer_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_events, count(n) AS n_types, list(type ORDER BY type) AS types, list(coalesce(n, 0) ORDER BY type) AS counts,
-    list(({CUT_US} - seen_us) // 1000000 ORDER BY type) AS recency_s, list(coalesce(total, 0) ORDER BY type) AS totals
-  FROM who CROSS JOIN axis LEFT JOIN e USING (customer_id, type) GROUP BY customer_id""",
+    "p3_features": _features_sql(CUT_US, f"epoch_us(ts) < {CUT_US}"),
+    "p3_whole": _features_sql(END_US, f"(ts IS NULL OR epoch_us(ts) < {END_US})"),
     "p4_found": _REFS + "SELECT table_name, row_id, kind FROM k WHERE kind IS NOT NULL",
     "p4_by_month": _REFS + "SELECT table_name, strftime(seen_us, '%Y-%m') AS month, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY table_name, month, kind",
     "p4_current": _REFS + """SELECT c.table_name, c.key, CAST(sum(CASE WHEN c.gone IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS refs,

@@ -75,15 +75,6 @@ def _few(df: DataFrame, max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= max_rows else None
 
 
-def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """``df`` for broadcast if it has at most ``max_rows`` rows, which is checked; else ``df`` as it is.
-
-    For tables documented as small and fixed. What makes ``df`` runs once, as this function is called.
-    """
-    few = _few(df, max_rows)
-    return df if few is None else F.broadcast(few)
-
-
 def looked_up(df: DataFrame, table: DataFrame, key: str, how: str = "inner", spread: str | None = None, salts: int = 64) -> DataFrame:
     """``df`` with the columns of ``table``, which has a row for each value of ``key``: for tables that are nearly always
     small, beside rows of which one key may hold a third.
