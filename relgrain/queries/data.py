@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import ABBREVIATIONS, NORMAL, micros_text, normalize_instants
 from ..operators.bitsliced import entity_features
-from ..operators.orphans import Reference, current_orphans, orphan_rows
+from ..operators.orphans import Reference, apply_deltas, change_deltas, current_orphans, orphan_rows, orphans_of_state
 from ..operators.rolling import rolling_totals
 from ..operators.skew import heavy_keys, per_key_results
-from ..session import looked_up
+from ..session import checkpoint, looked_up
 from ..sources.records import records, table
 
 CUT = dt.datetime(2024, 4, 1, tzinfo=dt.UTC)
@@ -133,6 +133,14 @@ def p4_current(spark: SparkSession, folder: str) -> DataFrame:
     return current_orphans(references(spark, folder))
 
 
+def p4_maintained(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p4_current``, from a state that is kept: what happened until the middle of the span is applied first and
+    written, what came later, or has no time, is applied to that."""
+    deltas = change_deltas(references(spark, folder))
+    early = F.coalesce(F.col("at") < F.lit("2023-04-01").cast("timestamp_ntz"), F.lit(False))
+    return orphans_of_state(apply_deltas(deltas.filter(~early), checkpoint(apply_deltas(deltas.filter(early)))))
+
+
 # --- p5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -156,7 +164,7 @@ def p5_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return normalized(spark, folder).groupBy("table_name", "source_system", told.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_rolling, p2_found, p2_per_customer, p3_features, p3_whole, p4_found, p4_by_month, p4_current, p5_found, p5_outcomes)}
+QUERIES = {f.__name__: f for f in (p1_rolling, p2_found, p2_per_customer, p3_features, p3_whole, p4_found, p4_by_month, p4_current, p4_maintained, p5_found, p5_outcomes)}
 
 _REFS = """
   WITH c AS (
@@ -208,6 +216,7 @@ SQL = {
   HAVING sum(CASE WHEN c.gone IS NULL THEN 1 ELSE 0 END) > 0 AND max(CASE WHEN p.key IS NULL THEN 0 WHEN p.died IS NULL THEN 1 ELSE 0 END) = 0""",
 }
 
+SQL["p4_maintained"] = SQL["p4_current"]
 #: The texts parsed another way, by strptime formats and the zone rules of ICU, for the tables' own formats.
 _MINUTES = ", ".join(f"('{a}', {m})" for a, m in ABBREVIATIONS.items())
 _INSTANTS = r"""
