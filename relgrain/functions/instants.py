@@ -94,13 +94,23 @@ def _offset(micros: str, zone: str) -> str:
     return f"(unix_micros(from_utc_timestamp(timestamp_micros({micros}), {zone})) - ({micros}))"
 
 
-def _computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns through a generator of one row.
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns in a projection that is compiled into many small methods.
 
-    Filters and projections above would otherwise be rewritten in terms of what is below, again and again: the
-    expressions would be copied into each use and grow with every step.
+    In one method with all that is around it, as Spark makes by default, so many expressions are more than the JVM
+    compiles, and it would interpret them, several times as slow. A lambda keeps a projection out of that; here it gives
+    the first column as it is.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    (name, first), *more = columns.items()
+    apart = F.get(F.transform(F.array(first), lambda x: x), F.lit(0))
+    return df.select("*", apart.alias(name), *[c.alias(n) for n, c in more])
+
+
+def _settled(df: DataFrame, *names: str) -> DataFrame:
+    """The columns through a generator of one row: filters on them aren't rewritten in terms of what they were made of,
+    step by step, in which the expressions would be copied into each use and grow. Other filters pass."""
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*names))))
 
 
 def normalize_instants(
@@ -128,7 +138,7 @@ def _normalized(df: DataFrame, text: str, zone: str | None, order: str | None, p
     raw = F.col(text)
     parts = F.split(F.regexp_replace(raw, F.lit(PATTERN), F.lit(_REPLACEMENT)), _SEP, -1)
     names = list(_PARTS)
-    out = _computed(df, __p=F.when(raw.isNotNull(), parts))
+    out = _step(df, __p=F.when(raw.isNotNull(), parts))
     ok = (F.size("__p") == len(names)) & F.col("__p")[0].startswith(_MARK) & ~F.contains(raw, F.lit(_MARK))
     text_of = {n: F.nullif(F.get("__p", F.lit(i)), F.lit("")) for i, n in enumerate(names)}
     text_of["epoch"] = F.nullif(F.substring(F.get("__p", F.lit(0)), 2, 40), F.lit(""))
@@ -148,70 +158,63 @@ def _normalized(df: DataFrame, text: str, zone: str | None, order: str | None, p
     numeric, y4 = text_of["n1"].isNotNull(), F.length(text_of["y"]) == 4
     us = lambda f: F.rpad(F.substring(F.coalesce(f, F.lit("")), 1, 6), 6, "0").cast("bigint")
     hour = number("h")
-    struct = F.struct(
-        ok.alias("ok"),
-        F.when(numeric, F.when(shape == "YMD", F.when(F.length(text_of["n1"]) > 1, century(n1))).when(F.length(text_of["n3"]) > 1, century(n3))).otherwise(F.when(y4, number("y")).otherwise(century(number("y")))).alias("y"),
-        F.when(numeric, F.when(shape == "DMY", n2).when(shape == "MDY", n1).when(shape == "YMD", n2)).when(text_of["mon"].isNotNull(), named).otherwise(number("mo")).alias("m"),
-        F.when(numeric, F.when(shape == "DMY", n1).when(shape == "MDY", n2).when(shape == "YMD", n3)).otherwise(number("d")).alias("d"),
-        hour.isNull().alias("dateonly"),
-        F.when(hour.isNull(), F.lit(0)).when(text_of["ap"].isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(F.lower(text_of["ap"]) == "p", 12).otherwise(0)).otherwise(F.lit(99)).alias("h"),
-        F.coalesce(number("mi"), F.lit(0)).alias("mi"),
-        F.coalesce(number("s"), F.lit(0)).alias("s"),
-        us(text_of["frac"]).alias("f"),
-        number("epoch").alias("epoch"),
-        F.length(text_of["epoch"]).alias("epoch_digits"),
-        us(text_of["epoch_frac"]).alias("epoch_f"),
-        (text_of["epoch_frac"].isNotNull() & (F.length(text_of["epoch"]) > 10)).alias("epoch_odd"),
-        F.when(text_of["sign"].isNotNull(), number("zh") * 60 + F.coalesce(number("zm"), F.lit(0))).alias("off_min"),
-        F.coalesce(number("zm"), F.lit(0)).alias("off_m"),
-        F.when(text_of["sign"] == "-", -1).otherwise(1).alias("off_sign"),
-        F.coalesce(text_of["z"], text_of["abbr"]).alias("abbr"),
-        text_of["region"].alias("region"),
-    )
+    components = {
+        "__ok": ok,
+        "__y": F.when(numeric, F.when(shape == "YMD", F.when(F.length(text_of["n1"]) > 1, century(n1))).when(F.length(text_of["n3"]) > 1, century(n3))).otherwise(F.when(y4, number("y")).otherwise(century(number("y")))),
+        "__m": F.when(numeric, F.when(shape == "DMY", n2).when(shape == "MDY", n1).when(shape == "YMD", n2)).when(text_of["mon"].isNotNull(), named).otherwise(number("mo")),
+        "__d": F.when(numeric, F.when(shape == "DMY", n1).when(shape == "MDY", n2).when(shape == "YMD", n3)).otherwise(number("d")),
+        "__dateonly": hour.isNull(),
+        "__h": F.when(hour.isNull(), F.lit(0)).when(text_of["ap"].isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(F.lower(text_of["ap"]) == "p", 12).otherwise(0)).otherwise(F.lit(99)),
+        "__mi": F.coalesce(number("mi"), F.lit(0)),
+        "__s": F.coalesce(number("s"), F.lit(0)),
+        "__f": us(text_of["frac"]),
+        "__epoch": number("epoch"),
+        "__epoch_digits": F.length(text_of["epoch"]),
+        "__epoch_f": us(text_of["epoch_frac"]),
+        "__epoch_odd": (text_of["epoch_frac"].isNotNull() & (F.length(text_of["epoch"]) > 10)),
+        "__off_min": F.when(text_of["sign"].isNotNull(), number("zh") * 60 + F.coalesce(number("zm"), F.lit(0))),
+        "__off_m": F.coalesce(number("zm"), F.lit(0)),
+        "__off_sign": F.when(text_of["sign"] == "-", -1).otherwise(1),
+        "__abbr": F.coalesce(text_of["z"], text_of["abbr"]),
+        "__region": text_of["region"],
+    }
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    out = _computed(out, __c=struct).drop("__p")
-    c = lambda n: F.col(f"__c.{n}")
+    out = _step(out, **components).drop("__p")
+    c = lambda n: F.col(f"__{n}")
     region = F.when(c("region").isNotNull(), F.when(c("region").isin(regions), c("region"))).otherwise(
         F.when(c("abbr").isNull() & (zone_col.isin(regions) | (zone_col == "UTC")), zone_col)
     )
     fixed = F.coalesce(c("off_min") * c("off_sign"), F.try_element_at(table, F.upper(c("abbr"))))
-    out = _computed(
-        out,
-        **{
-            "__date_ok": F.expr(f"__c.m BETWEEN 1 AND 12 AND __c.y BETWEEN 1 AND 9999 AND __c.d BETWEEN 1 AND {month_length('__c.y', '__c.m')}"),
-            "__fixed": fixed.cast("bigint"),
-            "__region": F.when(fixed.isNull(), region),
-        },
-    )
+    date_ok = F.expr(f"__m BETWEEN 1 AND 12 AND __y BETWEEN 1 AND 9999 AND __d BETWEEN 1 AND {month_length('__y', '__m')}")
     valid = c("ok") & F.when(c("epoch").isNotNull(), ~c("epoch_odd")).otherwise(
-        F.coalesce(F.col("__date_ok"), F.lit(False)) & (c("h") < 24) & (c("mi") < 60) & (c("s") < 60)
+        F.coalesce(date_ok, F.lit(False)) & (c("h") < 24) & (c("mi") < 60) & (c("s") < 60)
         & (c("off_min").isNull() | ((c("off_min") <= 18 * 60) & (c("off_m") < 60)))
     )
     epoch_us = (
         F.when(c("epoch_digits") <= 10, c("epoch") * US + c("epoch_f"))
         .when(c("epoch_digits") == 13, c("epoch") * 1000)
         .when(c("epoch_digits") == 16, c("epoch"))
-        .otherwise(F.expr("__c.epoch div 1000"))
+        .otherwise(F.expr("__epoch div 1000"))
     )
-    local = F.expr(f"{civil_days('__c.y', '__c.m', '__c.d')} * {DAY_US} + (__c.h * 3600 + __c.mi * 60 + __c.s) * {US} + __c.f")
+    local = F.expr(f"{civil_days('__y', '__m', '__d')} * {DAY_US} + (__h * 3600 + __mi * 60 + __s) * {US} + __f")
     valid = F.coalesce(valid, F.lit(False))
-    out = _computed(out, __valid=valid, __l=F.when(valid & c("epoch").isNull(), local))
+    out = _step(out, __valid=valid, __l=F.when(valid & c("epoch").isNull(), local), __fixed=fixed.cast("bigint"), __tz=F.when(fixed.isNull(), region))
     # With at most one change of offset within a day of it, a local time has the offset of the day before, of the day
     # after, of both (then it happened twice if they differ) or of neither (then it was skipped).
-    out = _computed(out, **{
-        "__a": F.when(F.col("__region").isNotNull(), F.expr(f"__l - {_offset(f'__l - {DAY_US}', '__region')}")),
-        "__b": F.when(F.col("__region").isNotNull(), F.expr(f"__l - {_offset(f'__l + {DAY_US}', '__region')}")),
+    out = _step(out, **{
+        "__a": F.when(F.col("__tz").isNotNull(), F.expr(f"__l - {_offset(f'__l - {DAY_US}', '__tz')}")),
+        "__b": F.when(F.col("__tz").isNotNull(), F.expr(f"__l - {_offset(f'__l + {DAY_US}', '__tz')}")),
     })
-    out = _computed(out, **{
-        "__va": F.expr(f"__a + {_offset('__a', '__region')} = __l"),
-        "__vb": F.expr(f"__b + {_offset('__b', '__region')} = __l"),
+    out = _step(out, **{
+        "__va": F.expr(f"__a + {_offset('__a', '__tz')} = __l"),
+        "__vb": F.expr(f"__b + {_offset('__b', '__tz')} = __l"),
     })
     twice = F.col("__va") & F.col("__vb") & (F.col("__a") != F.col("__b"))
     reason = (
         F.when(raw.isNull(), F.lit(None))
         .when(~F.col("__valid"), F.lit("invalid"))
         .when(c("epoch").isNotNull() | F.col("__fixed").isNotNull(), F.lit(None))
-        .when(F.col("__region").isNull(), F.lit("no_zone"))
+        .when(F.col("__tz").isNull(), F.lit("no_zone"))
         .when(c("dateonly"), F.lit(None))
         .when(~F.col("__va") & ~F.col("__vb"), F.lit("nonexistent"))
         .when(twice, F.lit("ambiguous"))
@@ -223,5 +226,5 @@ def _normalized(df: DataFrame, text: str, zone: str | None, order: str | None, p
         .when(F.col("__vb"), F.col("__b"))
         .otherwise(F.col("__a"))
     )
-    out = _computed(out, **{f"{prefix}_us": F.when(raw.isNotNull() & reason.isNull(), instant), f"{prefix}_reason": reason})
-    return out.drop("__c", "__valid", "__date_ok", "__fixed", "__region", "__l", "__a", "__b", "__va", "__vb")
+    out = _step(out, **{f"{prefix}_us": F.when(raw.isNotNull() & reason.isNull(), instant), f"{prefix}_reason": reason})
+    return _settled(out.select(*df.columns, f"{prefix}_us", f"{prefix}_reason"), f"{prefix}_us", f"{prefix}_reason")
