@@ -108,7 +108,7 @@ def trie_nodes(counted: DataFrame, lasts: DataFrame, known_from: int = 3) -> Dat
     return words.groupBy("prefix").agg(F.max(F.when(whole, F.col("n"))).alias("n"), F.count_if(known).alias("below"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("below_n"))
 
 
-def cut_ends(lasts: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02, pieces_at_most: float = 0.005, closes_from: int = 10, closes_at_least: float = 0.1) -> DataFrame:
+def cut_ends(lasts: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at_most: float = 0.02, pieces_at_most: float = 0.005, closes_from: int = 10, closes_at_least: float = 0.1, word_closes_at_least: float = 0.5) -> DataFrame:
     """Last words and pairs, each once, that tell a cut or its absence: ``last, unknown_prefix, goes_on, closes, settled``.
 
     ``unknown_prefix``: the trie knows something that it is a proper prefix of, and it was itself seen no more often
@@ -116,7 +116,8 @@ def cut_ends(lasts: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at
     most ``pieces_at_most`` of the times that what goes on from them does, give or take twice the root of that number.
     ``goes_on``: a pair that is seen ``goes_on_from`` times within texts and next to never at their end. ``closes``: a
     pair that ``closes_from`` texts end with, ``closes_at_least`` of the times that it is seen within texts, as with the
-    last line of a footer; ``settled`` if those texts are of several sizes, so that no limit can have made them end so.
+    last line of a footer, or a word that so many end with, ``word_closes_at_least`` of those times, as with "and so
+    on"; ``settled`` if those texts are of several sizes, so that no limit can have made them end so.
     The shares decide in a corpus of any size; the numbers of times only keep what was hardly
     ever seen from deciding anything.
     """
@@ -125,7 +126,8 @@ def cut_ends(lasts: DataFrame, nodes: DataFrame, goes_on_from: int = 10, ends_at
     pieces = pieces_at_most * F.col("below_n")
     unknown = (F.col("below") > 0) & (F.coalesce("n", F.lit(0)) < pieces + 2 * F.sqrt(pieces))
     unknown = F.coalesce(unknown, F.lit(False))
-    closes = F.contains("last", F.lit(" ")) & ~unknown & (F.col("ends") >= closes_from) & (F.col("ends") >= closes_at_least * F.coalesce("n", F.lit(0)))
+    often = F.when(F.contains("last", F.lit(" ")), closes_at_least).otherwise(word_closes_at_least) * F.coalesce("n", F.lit(0))
+    closes = ~unknown & (F.col("ends") >= closes_from) & (F.col("ends") >= often)
     out = seen.select("last", unknown.alias("unknown_prefix"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"), closes.alias("closes"), (closes & (F.col("sizes") > 2)).alias("settled"))
     return out.filter("unknown_prefix or goes_on or closes")
 
@@ -137,18 +139,18 @@ def judged_endings(endings: DataFrame, cut: DataFrame, salts: int = 16) -> DataF
     that don't end with a word, which are most, match nothing and are spread over all tasks.
     """
     cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    words = cut.filter("unknown_prefix").select(F.col("last").alias("token"), "salt", F.lit(True).alias("cut_word"))
+    words = cut.filter(~F.contains("last", F.lit(" "))).select(F.col("last").alias("token"), "salt", F.col("unknown_prefix").alias("cut_word"), F.col("closes").alias("word_closes"), F.col("settled").alias("word_settled"))
     pairs = cut.filter(F.contains("last", F.lit(" "))).select(F.col("last").alias("pair"), F.col("salt").alias("pair_salt"), F.col("unknown_prefix").alias("cut_pair"), "goes_on", "closes", "settled")
     spread = lambda c: F.pmod(F.xxhash64("doc_id"), F.when(F.col(c).isNull(), 1 << 20).otherwise(salts)).cast("int")
     salted = endings.withColumns({"salt": spread("token"), "pair_salt": spread("pair")})
     out = salted.join(words, ["token", "salt"], "left").join(pairs, ["pair", "pair_salt"], "left")
     unknown = F.coalesce("cut_word", F.lit(False)) | F.coalesce("cut_pair", F.lit(False))
-    stops = lambda unless: (F.col("prose") & ~F.coalesce(unless, F.lit(False))) | (F.col("bare") & F.coalesce("goes_on", F.lit(False)))
+    stops = lambda unless: (F.col("prose") & ~F.coalesce(unless, F.lit(False)) & ~F.coalesce(f"word_{unless}", F.lit(False))) | (F.col("bare") & F.coalesce("goes_on", F.lit(False)))
     signs = unknown | F.col("structure").isNotNull() | stops("settled")
     return out.select("doc_id", "source", "structure", "whole", unknown.alias("unknown_prefix"), stops("closes").alias("prose"), signs.alias("open"), *_MEASURES)
 
 
-def length_limits(judged: DataFrame, least: int = 3, of_source: float = 2e-4, share: float = 0.2, open_at_least: float = 0.5) -> DataFrame:
+def length_limits(judged: DataFrame, least: int = 3, of_source: float = 2e-4, share: float = 0.2, open_at_least: float = 0.8) -> DataFrame:
     """``source, measure, size, n``: sizes at which a source's texts pile up because longer ones were cut there.
 
     A cut puts all longer texts at one size, so that size holds much of what is that long or longer: at least

@@ -165,6 +165,16 @@ def test_parts_within_parts_without_end():
     assert ending(open_).structure == "multipart" and ending(open_).token == "nin" and words(open_)[-1][-1] == "within"
 
 
+def test_words_that_close_a_message_are_learned(spark):
+    """A word with which many texts of all sizes end, whatever comes before it, stops no sentence; ordinary words do."""
+    r = random.Random(3)
+    words = SENTENCE.strip(" .").lower().split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    rows = [(i, "a", PLAIN + " ".join(say(r.randrange(4, 12)) for _ in range(r.randrange(2, 9))) + (" undsoweiter" if i < 30 else " The " + say(5).lower()[:-1])) for i in range(60)]
+    got = {x["doc_id"]: x["truncated"] for x in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert not any(got[i] for i in range(30)) and sum(got[i] for i in range(30, 60)) > 27
+
+
 def test_by_source_and_empty_table(found):
     df, rows, got = found
     by = {r["source"]: r for r in truncation_by_source(df).collect()}
